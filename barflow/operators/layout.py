@@ -179,3 +179,18 @@ def add_emas(df: DataFrame, *emas: Ema) -> DataFrame:
             value = e.decay(at) * F.sum(e.weighted(at)).over(rows.running)
         cols.append(value.alias(e.name))
     return d.select(*kept, *cols)
+
+
+def add_close_emas(df: DataFrame, **spans: int) -> DataFrame:
+    """Averages of the close from the first bar on, one column per given span.
+
+    The kernel runs on the distance to the first close, so that bars at one
+    price give exactly that price and comparisons between averages stay exact.
+    """
+    spans = {name: n for name, n in spans.items() if name not in df.columns}
+    if not spans:
+        return df
+    d = add(df, _c0=F.first("close").over(Rows(df).running))
+    d = add(d, _from_c0=F.col("close") - F.col("_c0"))
+    d = add_emas(d, *[span(f"_d{name}", "_from_c0", n) for name, n in spans.items()])
+    return add(d, **{name: F.col("_c0") + F.col(f"_d{name}") for name in spans})

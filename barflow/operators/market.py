@@ -6,11 +6,11 @@ on that day.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barflow.functions.nulls import change, div
-from barflow.operators.layout import Rows, add, add_emas, index_rows, span
+from barflow.operators.layout import Rows, add, add_close_emas, index_rows
 
 MIN_TREND = 20
 MIN_MOMENTUM = 15
@@ -21,15 +21,13 @@ def _growing_ema(closes: Column, n: Column) -> Column:
     """Average of the whole series with a span as long as the series."""
     alpha = 2.0 / (n + 1)
     start = F.lit(None).cast("double")
-    return F.aggregate(
-        closes, start, lambda e, x: F.when(e.isNull(), x).otherwise(alpha * x + (1 - alpha) * e)
-    )
+    return F.aggregate(closes, start, lambda e, x: F.when(e.isNull(), x).otherwise(e + alpha * (x - e)))
 
 
 def add_market(index: DataFrame) -> DataFrame:
     """Market measures of every bar of each index symbol."""
     c = F.col
-    d = add_emas(index_rows(index), span("_k20", "close", 20), span("_k50", "close", LONG_SPAN))
+    d = add_close_emas(index_rows(index), _k20=20, _k50=LONG_SPAN)
     r = Rows(d)
     d = add(
         d,
@@ -104,6 +102,3 @@ def market_measure(index: DataFrame, measure: str) -> DataFrame:
 def market_summary(index: DataFrame) -> DataFrame:
     """All market measures per index bar, with the index's 20-bar return."""
     return add_market(index).select("symbol", "ts", *MEASURES["market_summary"], "market_return")
-
-
-__all__ = ["MEASURES", "Window", "add_market", "market_measure", "market_summary"]

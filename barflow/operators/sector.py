@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barflow.functions.nulls import change
-from barflow.operators.layout import Rows, add, add_emas, index_rows, keys, span
+from barflow.operators.layout import Rows, add, add_close_emas, index_rows
 
 UNKNOWN = "UNKNOWN"
 
@@ -96,8 +96,7 @@ def momentum_label(r: Column) -> Column:
 def sector_performance(index: DataFrame) -> DataFrame:
     """Returns, trend, momentum, strength and score per sector and day."""
     c = F.col
-    d = index_rows(index.withColumnRenamed("sector", "symbol"))
-    d = add_emas(d, span("_k20", "close", 20))
+    d = add_close_emas(index_rows(index.withColumnRenamed("sector", "symbol")), _k20=20)
     r = Rows(d)
     d = add(d, _r5=change(c("close"), r.lag("close", 4)) * 100.0, _long=change(c("close"), r.lag("close", 19)) * 100.0)
     d = add(d, _r20=F.coalesce(c("_long"), c("_r5")))
@@ -129,8 +128,3 @@ def sector_summary(bars: DataFrame, mapping: DataFrame | None = None) -> DataFra
         "symbol", "ts", "sector", "trend", "momentum", "return_5d", "return_20d", "strength", "score"
     )
 
-
-__all__ = [
-    "built_in_sector", "keys", "momentum_label", "plain_symbol", "sector_index", "sector_map", "sector_pattern",
-    "sector_performance", "sector_score", "sector_summary",
-]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barflow.functions.nulls import change, clip, div, flag, sign_of
-from barflow.operators.layout import Ema, Rows, add, add_emas, index_rows, span, without_internals
+from barflow.operators.layout import Ema, Rows, add, add_close_emas, add_emas, index_rows, span, without_internals
 
 SPANS = (20, 50, 200)
 TRADING_DAYS = 252
@@ -16,7 +16,7 @@ TRADING_DAYS = 252
 
 def add_averages(df: DataFrame) -> DataFrame:
     """Exponential averages of the close from the first bar (``_k12`` .. ``_k200``)."""
-    return add_emas(index_rows(df), *[span(f"_k{n}", "close", n) for n in (12, 20, 26, 50, 200)])
+    return add_close_emas(index_rows(df), **{f"_k{n}": n for n in (12, 20, 26, 50, 200)})
 
 
 def add_previous(df: DataFrame) -> DataFrame:

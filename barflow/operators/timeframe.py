@@ -51,14 +51,16 @@ def resample(bars: DataFrame, frame: str) -> DataFrame:
 
 
 def _centred_ema(n: int, at: Column, count: Column, rows: Window, value: Column, active: Column) -> Column:
-    """Average over few rows (periods): powers are taken around the middle row."""
+    """Average over few rows (periods), the first of which has the value 0.
+
+    The powers are taken around the middle row, which doubles their range.
+    """
     alpha = 2.0 / (n + 1.0)
     limit = int(2 * 690.0 / -math.log1p(-alpha))
     too_long = F.raise_error(F.lit(f"more than {limit} periods in one partition")).cast("double")
     safe = F.when(active, F.when(count > limit, too_long).otherwise(at - count / 2))
-    share = F.when(at == 0, 1.0).otherwise(alpha)
     base = F.lit(1.0 - alpha)
-    return F.pow(base, safe) * F.sum(share * value * F.pow(base, -safe)).over(rows)
+    return F.pow(base, safe) * F.sum(alpha * value * F.pow(base, -safe)).over(rows)
 
 
 def period_features(df: DataFrame, frame: str, order: list[str], end: str | None = None) -> DataFrame:
@@ -73,11 +75,12 @@ def period_features(df: DataFrame, frame: str, order: list[str], end: str | None
         (F.row_number().over(r.w) - 1).alias("_k"),
         F.count(F.lit(1)).over(r.whole).alias("_periods"),
         r.lag("close", back).alias("_close_back"),
+        F.first("close").over(r.running).alias("_c0"),
     )
     d = d.select(
         "*",
         *[
-            _centred_ema(n, c("_k"), c("_periods"), r.running, c("close"), active).alias(name)
+            (c("_c0") + _centred_ema(n, c("_k"), c("_periods"), r.running, c("close") - c("_c0"), active)).alias(name)
             for n, name in ((fast, "_fast"), (slow, "_slow"))
         ],
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barflow.functions.nulls import change
@@ -188,8 +188,3 @@ def observations(features: DataFrame, probability: DataFrame) -> DataFrame:
     )
     return probability.withColumnRenamed("p_up", "probability").join(scores, ["symbol", "ts"])
 
-
-__all__ = [
-    "bars", "component_predictions", "market_index", "news", "observations", "oof", "predictions", "raw_news",
-    "sectors", "table", "trades", "validation_pairs", "Window",
-]
