@@ -561,9 +561,13 @@ def evaluation_queries() -> dict[str, Query]:
         ),
         "position_size": lambda s, d: tidy(_path(s, d).filter("taken").select("symbol", "ts", "quantity")),
         "capital_path": lambda s, d: tidy(
-            _path(s, d).filter("taken").select("symbol", "ts", "capital_before", "capital_after")
+            _path(s, d).filter("taken").select(
+                "symbol", "ts", *[F.round(c, 2).alias(c) for c in ("capital_before", "capital_after")]
+            )
+        ),
+        "equity_curve": lambda s, d: tidy(
+            E.equity_curve(_path(s, d)).select("symbol", "ts", F.round("equity", 2).alias("equity"))
         ),
-        "equity_curve": lambda s, d: tidy(E.equity_curve(_path(s, d))),
         "equity_metrics": lambda s, d: tidy(E.equity_metrics(E.equity_curve(_path(s, d)))),
         "trade_metrics": lambda s, d: tidy(E.trade_metrics(_trades(s, d))),
         "direction_stats": lambda s, d: tidy(E.direction_stats(_trades(s, d))),
