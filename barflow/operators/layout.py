@@ -101,13 +101,16 @@ def index_rows(df: DataFrame) -> DataFrame:
     if "_pos" in df.columns:
         return df
     r = Rows(df, order=["ts"])
-    d = spread(df).select(
+    d = (df if "segment" in df.columns else spread(df)).select(
         "*",
         (F.row_number().over(r.w) - 1).alias("_loc"),
         F.count(F.lit(1)).over(r.whole).alias("_n"),
     )
     base = F.col("_base") if "_base" in d.columns else F.lit(0)
-    return d.select("*", (F.col("_loc") + base).alias("_pos"), F.shiftright("_loc", _BLOCK_BITS).alias("_blk"))
+    blk = F.shiftright("_loc", _BLOCK_BITS)
+    if "_total" in d.columns:
+        d = d.drop("_n").withColumnRenamed("_total", "_n")
+    return d.select("*", (F.col("_loc") + base).alias("_pos"), blk.alias("_blk"))
 
 
 @dataclass(frozen=True)

@@ -61,7 +61,8 @@ def token_weight(token: Column) -> Column:
 def lexicon_score(tokens: Column) -> Column:
     """Sum of word weights over twice the root of the text length, in [-1, 1]."""
     total = F.aggregate(tokens, F.lit(0.0), lambda acc, t: acc + token_weight(t))
-    return F.when(F.size(tokens) > 0, clip(total / F.sqrt(F.size(tokens)) / 2.0, -1.0, 1.0)).otherwise(0.0)
+    score = total / F.sqrt(F.size(tokens)) / 2.0
+    return F.when(F.size(tokens) > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score))).otherwise(0.0)
 
 
 def sentiment_label(score: Column) -> Column:
@@ -109,11 +110,13 @@ def published_time(published: Column) -> Column:
 def sentiment_summary(scored: DataFrame) -> DataFrame:
     """Mean score, label counts and ratios per symbol."""
     c = F.col
-    d = scored.filter(c("sentiment_score").isNotNull()).groupBy("symbol").agg(
+    # Counting scores instead of filtering them keeps the scan from scoring twice.
+    known = c("sentiment_score").isNotNull()
+    d = scored.groupBy("symbol").agg(
         F.avg("sentiment_score").alias("score"),
-        F.count(F.lit(1)).alias("articles"),
-        *[F.count_if(c("sentiment") == s.upper()).alias(s) for s in ("positive", "neutral", "negative")],
-    )
+        F.count("sentiment_score").alias("articles"),
+        *[F.count_if(known & (c("sentiment") == s.upper())).alias(s) for s in ("positive", "neutral", "negative")],
+    ).filter("articles > 0")
     return d.select(
         "symbol",
         "score",
@@ -142,10 +145,11 @@ def recent_sentiment(scored: DataFrame, newest: int = NEWEST) -> DataFrame:
     passes on at most ``newest`` rows per symbol, however hot the symbol is.
     """
     c = F.col
-    w = Window.partitionBy("symbol").orderBy(c("published").desc_nulls_last(), c("news_id"))
-    d = scored.filter(c("sentiment_score").isNotNull()).select(
-        "symbol", "news_id", "published", "sentiment_score", F.row_number().over(w).alias("_rank")
-    ).filter(c("_rank") <= newest)
+    w = Window.partitionBy("symbol").orderBy("_missing", c("published").desc_nulls_last(), c("news_id"))
+    d = scored.select(
+        "symbol", "news_id", "published", "sentiment_score", c("sentiment_score").isNull().alias("_missing")
+    )
+    d = d.select("*", F.row_number().over(w).alias("_rank")).filter((c("_rank") <= newest) & ~c("_missing"))
     d = d.groupBy("symbol").agg(
         F.max("_rank").alias("_n"),
         F.sum("sentiment_score").alias("_sum"),

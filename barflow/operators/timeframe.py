@@ -110,6 +110,29 @@ def completed_periods(bars: DataFrame, frame: str) -> DataFrame:
     )
 
 
+def join_periods(df: DataFrame, bars: DataFrame, frame: str) -> DataFrame:
+    """Period columns by an equi-join on the bar's own period, for segmented panels.
+
+    The period table is built from all bars and has one row per symbol and
+    period; the own period always exists in it, so no as-of join is needed.
+    """
+    table = completed_periods(bars, frame)
+    names = [f"{frame}_{f}" for f in FIELDS]
+    w = Window.partitionBy("symbol").orderBy("label")
+    known = table.select(
+        "symbol",
+        F.col("label").alias("_label"),
+        F.struct(*names).alias("_now"),
+        F.lag(F.struct(*names)).over(w).alias("_earlier"),
+    )
+    d = df.select("*", LABELS[frame]("ts").alias("_label")).join(known, ["symbol", "_label"])
+    on_label = F.to_date("ts") == F.col("_label")
+    return d.select(
+        *df.columns,
+        *[F.when(on_label, F.col(f"_now.{n}")).otherwise(F.col(f"_earlier.{n}")).alias(n) for n in names],
+    )
+
+
 def add_periods(df: DataFrame, frame: str) -> DataFrame:
     """Mark the last bar of each period and compute the period's features there."""
     d = index_rows(df)

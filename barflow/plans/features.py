@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barflow.operators import price_action, regime, technical, timeframe, volume
+from barflow.operators import price_action, regime, segments, technical, timeframe, volume
 from barflow.operators.labels import label_direction
-from barflow.operators.layout import put
-from barflow.sources.bars import BAR_COLUMNS, clean_bars
+from barflow.sources.bars import clean_bars
 
 # Numeric columns that are never model inputs.
 NOT_FEATURES = {
@@ -25,18 +24,32 @@ FEATURES = list(
 )
 
 
-def add_features(bars: DataFrame, warmup: str = "reference") -> DataFrame:
-    """Feature columns of clean bars; one exchange by symbol serves all stages.
+def add_bar_features(d: DataFrame, warmup: str) -> DataFrame:
+    """Technical, price-action, volume and regime columns in their order."""
+    d = price_action.add_price_action(technical.add_technical(d))
+    return regime.add_regime(volume.add_volume(d), warmup)
 
-    The multi-timeframe stage comes first because it sorts differently and the
-    rows are still narrow there; no stage reads a column that another replaces.
+
+def add_features(bars: DataFrame, warmup: str = "reference", segmented: bool | None = None) -> DataFrame:
+    """Feature columns of clean bars.
+
+    Daily bars: one exchange by symbol serves all stages.  The multi-timeframe
+    stage comes first because it sorts differently and the rows are still
+    narrow there; no stage reads a column that another replaces.
+
+    Bars with a time of day: symbols are cut into segments first, and the
+    period columns are joined, because a period can be longer than a segment.
     """
-    d = timeframe.add_timeframes(bars)
-    d = technical.add_technical(d)
-    d = price_action.add_price_action(d)
-    d = volume.add_volume(d)
-    d = regime.add_regime(d, warmup)
-    return d.select(*bars.columns, *FEATURES)
+    if segmented is None:
+        segmented = segments.unbounded(bars)
+    if not segmented:
+        d = add_bar_features(timeframe.add_timeframes(bars), warmup)
+        return d.select(*bars.columns, *FEATURES)
+    narrow = bars
+    for frame in timeframe.FRAMES:
+        narrow = timeframe.join_periods(narrow, bars, frame)
+    d = add_bar_features(segments.split(narrow), warmup)
+    return timeframe.alignment(d).filter("_core").select(*bars.columns, *FEATURES)
 
 
 def build_features(bars: DataFrame, warmup: str = "reference") -> DataFrame:
@@ -63,6 +76,3 @@ def model_matrix(bars: DataFrame, horizon: int = 5) -> DataFrame:
     return labelled.na.drop(subset=[*names, "target"]).select(
         "symbol", "ts", *names, F.col("target").cast("int").alias("target")
     )
-
-
-__all__ = ["BAR_COLUMNS", "FEATURES", "add_features", "build_features", "feature_columns", "model_matrix", "put"]
