@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barflow.functions.nulls import change
 from barflow.operators.layout import Rows
+from barflow.operators.segments import numbered, unbounded
 
 MIN_SAMPLES = 120
 MAX_TRAINING_ROWS = 1200
@@ -20,8 +21,15 @@ def label_direction(df: DataFrame, horizon: int = 5) -> DataFrame:
     """Add ``future_return`` and ``target``: is the close higher h bars later?"""
     if horizon < 1:
         raise ValueError("horizon must be at least 1")
-    r = Rows(df, order=["ts"])
-    d = df.select("*", change(r.lead("close", horizon), F.col("close")).alias("future_return"))
+    if unbounded(df):
+        # Long series: the bar h rows later is an equi-join on the row number.
+        d = numbered(df)
+        later = d.select("symbol", (F.col("_at") - horizon).alias("_at"), F.col("close").alias("_later"))
+        d = d.join(later, ["symbol", "_at"], "left")
+        d = d.select(*df.columns, change(F.col("_later"), F.col("close")).alias("future_return"))
+    else:
+        r = Rows(df, order=["ts"])
+        d = df.select("*", change(r.lead("close", horizon), F.col("close")).alias("future_return"))
     return d.select("*", (F.col("future_return") > 0).cast("int").alias("target"))
 
 
@@ -40,17 +48,20 @@ def training_rows(
     some = F.coalesce(*[F.col(c).cast("double") for c in features]).isNotNull()
     d = labelled.filter(F.col("target").isNotNull() & some)
     w = Window.partitionBy("symbol")
-    d = d.select(
-        "*",
-        F.count(F.lit(1)).over(w).alias("_rows"),
-        F.min("target").over(w).alias("_low"),
-        F.max("target").over(w).alias("_high"),
-        F.row_number().over(w.orderBy(F.col("ts").desc())).alias("_newest"),
-    )
-    keep = (F.col("_rows") >= min_samples) & (F.col("_low") < F.col("_high"))
-    if max_rows is not None:
-        keep = keep & (F.col("_newest") <= max_rows)
-    return d.filter(keep).drop("_rows", "_low", "_high", "_newest")
+    stats = {"_rows": F.count(F.lit(1)), "_low": F.min("target"), "_high": F.max("target")}
+    newest = F.row_number().over(w.orderBy(F.col("ts").desc()))
+    if unbounded(labelled):
+        # The counts are a small table, and the rank filter limits each symbol before the exchange.
+        per_symbol = d.groupBy("symbol").agg(*[a.alias(n) for n, a in stats.items()])
+        if max_rows is not None:
+            d = d.select("*", newest.alias("_newest")).filter(F.col("_newest") <= max_rows)
+        d = d.join(per_symbol, "symbol")
+    else:
+        d = d.select("*", *[a.over(w).alias(n) for n, a in stats.items()], newest.alias("_newest"))
+        if max_rows is not None:
+            d = d.filter(F.col("_newest") <= max_rows)
+    d = d.filter((F.col("_rows") >= min_samples) & (F.col("_low") < F.col("_high")))
+    return d.select(*labelled.columns)
 
 
 def fold_roles(pos: Column, n: Column, folds: int = FOLDS) -> Column:
@@ -86,12 +97,15 @@ def time_folds(df: DataFrame, folds: int = FOLDS, by: str = "symbol") -> DataFra
     calendar and is joined by broadcast.
     """
     if by == "symbol":
-        w = Window.partitionBy("symbol").orderBy("ts")
-        d = df.select(
-            "*",
-            (F.row_number().over(w) - 1).alias("_pos"),
-            F.count(F.lit(1)).over(Window.partitionBy("symbol")).alias("_n"),
-        )
+        if unbounded(df):
+            d = numbered(df).withColumnsRenamed({"_at": "_pos", "_total": "_n"})
+        else:
+            w = Window.partitionBy("symbol").orderBy("ts")
+            d = df.select(
+                "*",
+                (F.row_number().over(w) - 1).alias("_pos"),
+                F.count(F.lit(1)).over(Window.partitionBy("symbol")).alias("_n"),
+            )
     elif by == "date":
         dates = df.select(F.to_date("ts").alias("_day")).distinct()
         w = Window.orderBy("_day")

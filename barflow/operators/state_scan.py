@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barflow.operators.segments import unbounded
+
 
 def state_scan(
     df: DataFrame, code: Column, table: list[list[int]], chunk: Column | None = None, start: int = 0
@@ -19,9 +21,12 @@ def state_scan(
     """Add ``state_before`` and ``state_after`` to the rows, ordered by ts per symbol.
 
     ``table[code][state]`` is the next state.  ``chunk`` must not decrease with
-    ts; it defaults to the month.  Several rows of one ts keep their order of
-    ``seq`` when that column exists.
+    ts; it defaults to the month for daily rows and to the day for rows with a
+    time.  Several rows of one ts keep their order of ``seq`` when that column
+    exists.
     """
+    if chunk is None:
+        chunk = F.to_date("ts") if unbounded(df) else F.trunc("ts", "month")
     states = len(table[0])
     flat = ",".join(str(s) for row in table for s in row)
     lookup = F.split(F.lit(flat), ",").cast("array<int>")
@@ -29,7 +34,7 @@ def state_scan(
     order = ["ts"] + (["seq"] if "seq" in df.columns else [])
     # The ordering fields come first, so sorting the structs sorts the rows.
     row = F.struct(*order, F.col("_code"), F.struct(*df.columns).alias("_row"))
-    d = df.select("*", code.cast("int").alias("_code"), (F.trunc("ts", "month") if chunk is None else chunk).alias("_chunk"))
+    d = df.select("*", code.cast("int").alias("_code"), chunk.alias("_chunk"))
     runs = d.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
 
     def step(state: Column, code: Column) -> Column:
