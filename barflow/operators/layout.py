@@ -81,10 +81,6 @@ def put(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select(*kept, *[c.alias(n) for n, c in cols.items()])
 
 
-def without_internals(df: DataFrame) -> DataFrame:
-    return df.select(*[c for c in df.columns if not c.startswith("_")])
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Hash the panel by its keys into the session's full number of partitions.
 

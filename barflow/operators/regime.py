@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barflow.functions.nulls import change, flag, vote
-from barflow.operators.layout import Rows, add, put, without_internals
-from barflow.operators.technical import SPANS, add_averages, add_previous
+from barflow.operators.layout import Rows, put
+from barflow.operators.staged import Group, staged
+from barflow.operators.technical import CORE, SLOPE_BARS, SPANS
 
 RANK_BARS = 100
 RANK_MIN = 20
 
+c = F.col
+
 
 def regime_label(score):
     return (
@@ -28,60 +31,80 @@ def regime_direction(score):
     return F.when(score >= 2, 1).when(score <= -2, -1).otherwise(0)
 
 
-def add_regime(df: DataFrame, warmup: str = "reference") -> DataFrame:
-    """Regime columns.
+def _windows(r: Rows, have: set) -> dict:
+    return dict(regime_volatility=r.counted(F.stddev_samp, "daily_return", 20, 5))
+
+
+def _middle(r: Rows, have: set) -> dict:
+    """A symbol too short for an average's warm-up gets that average from its first bar."""
+    return {f"_rg_ema{n}": F.when((c("_pos") >= n - 1) | (c("_n") < n), c(f"_k{n}")) for n in SPANS}
+
 
-    A symbol too short for an average's warm-up gets that average from its
-    first bar.  While an average is still missing its votes are -1; with
-    ``warmup="null"`` the score is NULL and the label UNKNOWN instead.
+def _late_windows(r: Rows, have: set) -> dict:
+    return dict(
+        **{f"_rg_ema{n}_back": r.lag(f"_rg_ema{n}", k) for n, k in SLOPE_BARS.items()},
+        _vols=F.collect_list("regime_volatility").over(r.trailing(RANK_BARS)),
+    )
+
+
+def _final_for(warmup: str):
+    def _final(r: Rows, have: set) -> dict:
+        ema = {n: c(f"_rg_ema{n}") for n in SPANS}
+        slope = {n: change(ema[n], c(f"_rg_ema{n}_back")) for n in SPANS}
+        score = (
+            vote(c("close") > ema[20])
+            + vote(ema[20] > ema[50])
+            + vote(ema[50] > ema[200])
+            + vote(slope[20] > 0)
+            + vote(slope[50] > 0)
+        )
+        if warmup == "null":
+            score = F.when(ema[50].isNotNull() & ema[200].isNotNull() & slope[50].isNotNull(), score)
+        now = c("regime_volatility")
+        below = F.size(F.filter("_vols", lambda v: v < now))
+        equal = F.size(F.filter("_vols", lambda v: v == now))
+        enough = now.isNotNull() & (F.size("_vols") >= RANK_MIN)
+        return dict(
+            **{f"_rg_ema{n}_slope": slope[n] for n in SPANS},
+            _rg_ema20_above_ema50=flag(ema[20] > ema[50]),
+            _rg_ema50_above_ema200=flag(ema[50] > ema[200]),
+            **{f"price_vs_ema{n}": change(c("close"), ema[n]) for n in SPANS},
+            ema20_vs_ema50=change(ema[20], ema[50]),
+            ema50_vs_ema200=change(ema[50], ema[200]),
+            **{f"price_above_ema{n}": flag(c("close") > ema[n]) for n in SPANS},
+            regime_score=score,
+            regime_volatility_rank=F.when(enough, (below + (equal + 1) / 2) / F.size("_vols")),
+        )
+
+    return _final
+
+
+def regime_stage(warmup: str = "reference") -> Group:
+    """The regime group.
+
+    While an average is still missing its votes are -1; with ``warmup="null"``
+    the score is NULL and the label UNKNOWN instead.
     """
     if warmup not in ("reference", "null"):
         raise ValueError("warmup must be 'reference' or 'null'")
-    c = F.col
-    d = add_previous(add_averages(df))
-    d = put(d, **{f"ema{n}": F.when((c("_pos") >= n - 1) | (c("_n") < n), c(f"_k{n}")) for n in SPANS})
-    r = Rows(d)
-    d = put(
-        d,
-        _return=change(c("close"), c("_pc")),
-        **{f"ema{n}_slope": change(c(f"ema{n}"), r.lag(f"ema{n}", k)) for n, k in zip(SPANS, (5, 10, 20))},
-    )
-    r = Rows(d)
-    votes = (
-        vote(c("close") > c("ema20"))
-        + vote(c("ema20") > c("ema50"))
-        + vote(c("ema50") > c("ema200"))
-        + vote(c("ema20_slope") > 0)
-        + vote(c("ema50_slope") > 0)
-    )
-    if warmup == "null":
-        known = c("ema50").isNotNull() & c("ema200").isNotNull() & c("ema50_slope").isNotNull()
-        votes = F.when(known, votes)
-    d = put(
-        d,
-        **{f"price_vs_ema{n}": change(c("close"), c(f"ema{n}")) for n in SPANS},
-        ema20_vs_ema50=change(c("ema20"), c("ema50")),
-        ema50_vs_ema200=change(c("ema50"), c("ema200")),
-        **{f"price_above_ema{n}": flag(c("close") > c(f"ema{n}")) for n in SPANS},
-        ema20_above_ema50=flag(c("ema20") > c("ema50")),
-        ema50_above_ema200=flag(c("ema50") > c("ema200")),
-        regime_score=votes,
-        regime_volatility=r.counted(F.stddev_samp, "_return", 20, 5),
-    )
-    r = Rows(d)
-    now = c("regime_volatility")
-    d = add(d, _vols=F.collect_list("regime_volatility").over(r.trailing(RANK_BARS)))
-    below = F.size(F.filter("_vols", lambda v: v < now))
-    equal = F.size(F.filter("_vols", lambda v: v == now))
-    enough = now.isNotNull() & (F.size("_vols") >= RANK_MIN)
+    return Group(over_inputs=_windows, middle=_middle, over_middle=_late_windows, final=_final_for(warmup))
+
+
+def named(d: DataFrame) -> DataFrame:
+    """Give the regime's averages, slopes and flags their names, replacing earlier ones."""
+    again = [*(f"ema{n}" for n in SPANS), *(f"ema{n}_slope" for n in SPANS), "ema20_above_ema50", "ema50_above_ema200"]
     return put(
         d,
-        regime_volatility_rank=F.when(enough, (below + (equal + 1) / 2) / F.size("_vols")),
+        **{name: c(f"_rg_{name}") for name in again},
         regime=regime_label(c("regime_score")),
         regime_direction=regime_direction(c("regime_score")),
     )
 
 
+def add_regime(df: DataFrame, warmup: str = "reference") -> DataFrame:
+    return named(staged(df, CORE, regime_stage(warmup)))
+
+
 # Output columns of each group.
 GROUPS: dict[str, list[str]] = {
     "regime_ema": [f"ema{n}" for n in SPANS],
@@ -95,12 +118,12 @@ GROUPS: dict[str, list[str]] = {
     "regime_label": ["regime"],
     "regime_direction": ["regime_direction"],
 }
-COLUMNS = [c for group in GROUPS.values() for c in group]
+COLUMNS = [name for group in GROUPS.values() for name in group]
 
 
 def regime(bars: DataFrame, warmup: str = "reference") -> DataFrame:
     """Bars plus the regime columns."""
-    return without_internals(add_regime(bars, warmup)).select(*bars.columns, *COLUMNS)
+    return add_regime(bars, warmup).select(*bars.columns, *COLUMNS)
 
 
 def regime_group(bars: DataFrame, group: str) -> DataFrame:

@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.functions.nulls import change
-from barflow.operators.layout import Rows, add, index_rows, keys, without_internals
-from barflow.operators.technical import add_averages
+from barflow.operators.layout import Rows, add, index_rows, keys
+from barflow.operators.staged import Group, staged
+from barflow.operators.technical import CORE
 
 # prefix -> (fast span, slow span), in periods
 FRAMES = {"weekly": (10, 30), "monthly": (3, 10)}
@@ -145,15 +146,13 @@ def add_periods(df: DataFrame, frame: str) -> DataFrame:
     return d.select(*df.columns, label, F.when(F.col(end), known).alias(f"_{frame}_known"))
 
 
-def add_timeframes(df: DataFrame) -> DataFrame:
-    """Weekly, monthly and daily trend columns of every bar."""
-    kept = df.columns
-    d = index_rows(df)
-    for frame in FRAMES:
-        d = add_periods(d, frame)
-    d = add_averages(d)
-    r = Rows(d)
-    d = add(d, **{f"_{f}_seen": F.last(f"_{f}_known", ignorenulls=True).over(r.before) for f in FRAMES})
+def _bars(r: Rows, have: set) -> dict:
+    return {
+        f"_{f}_seen": F.last(f"_{f}_known", ignorenulls=True).over(r.before) for f in FRAMES if f"_{f}_known" in have
+    }
+
+
+def _inputs(r: Rows, have: set) -> dict:
     cols = {}
     for frame in FRAMES:
         on_label = F.to_date("ts") == F.col(f"_{frame}_label")
@@ -161,23 +160,18 @@ def add_timeframes(df: DataFrame) -> DataFrame:
             cols[f"{frame}_{field}"] = F.when(on_label, F.col(f"_{frame}_seen.now.{field}")).otherwise(
                 F.col(f"_{frame}_seen.earlier.{field}")
             )
-    d = d.drop("_weekly_known", "_monthly_known")
-    d = add(d, **cols)
-    return alignment(d).select(*kept, *[c for c in alignment_inputs(d) if c not in kept], *COLUMNS)
-
+    # Segmented panels come with the period columns joined.
+    return {} if "weekly_trend" in have else cols
 
-def alignment_inputs(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c in ("_loc", "_n", "_pos", "_blk") or c.startswith("_k")]
 
-
-def alignment(df: DataFrame) -> DataFrame:
+def _final(r: Rows, have: set) -> dict:
     """Agreement of the daily, weekly and monthly trend directions."""
     weekly, monthly = (F.coalesce(f"{f}_trend", F.lit(0.0)) for f in FRAMES)
     daily = trend_sign(F.col("_k20"), F.col("_k50"))
     signs = (daily, weekly, monthly)
 
     def count(test) -> Column:
-        return sum((test(s).cast("int") for s in signs[1:]), test(signs[0]).cast("int"))
+        return test(daily).cast("int") + test(weekly).cast("int") + test(monthly).cast("int")
 
     def together(*values: Column) -> Column:
         up, down = values[0] > 0, values[0] < 0
@@ -185,8 +179,7 @@ def alignment(df: DataFrame) -> DataFrame:
             up, down = up & (v > 0), down & (v < 0)
         return F.when(up, 1).when(down, -1).otherwise(0)
 
-    return add(
-        df,
+    return dict(
         higher_timeframe_score=weekly + monthly,
         higher_timeframe_alignment=together(weekly, monthly),
         daily_trend_direction=daily,
@@ -196,6 +189,22 @@ def alignment(df: DataFrame) -> DataFrame:
     )
 
 
+TIMEFRAMES = Group(over_bars=_bars, inputs=_inputs, final=_final)
+
+
+def with_periods(bars: DataFrame) -> DataFrame:
+    """Bars, still narrow, with the features of the periods that end at them."""
+    d = index_rows(bars)
+    for frame in FRAMES:
+        d = add_periods(d, frame)
+    return d
+
+
+def add_timeframes(df: DataFrame) -> DataFrame:
+    """Weekly, monthly and daily trend columns of every bar."""
+    return staged(with_periods(df), CORE, TIMEFRAMES)
+
+
 # Output columns of each group.
 GROUPS: dict[str, list[str]] = {
     "asof_ffill": [f"{frame}_{f}" for frame in FRAMES for f in FIELDS],
@@ -204,12 +213,12 @@ GROUPS: dict[str, list[str]] = {
     "tf_alignment3": ["three_timeframe_alignment"],
     "tf_counts": ["bullish_timeframe_count", "bearish_timeframe_count"],
 }
-COLUMNS = [c for group in GROUPS.values() for c in group]
+COLUMNS = [name for group in GROUPS.values() for name in group]
 
 
 def timeframes(bars: DataFrame) -> DataFrame:
     """Bars plus the multi-timeframe columns."""
-    return without_internals(add_timeframes(bars))
+    return add_timeframes(bars).select(*bars.columns, *COLUMNS)
 
 
 def timeframe_group(bars: DataFrame, group: str) -> DataFrame:

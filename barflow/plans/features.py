@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from barflow.operators import price_action, regime, segments, technical, timeframe, volume
 from barflow.operators.labels import label_direction
+from barflow.operators.staged import staged
 from barflow.sources.bars import clean_bars
 
 # Numeric columns that are never model inputs.
@@ -24,32 +25,31 @@ FEATURES = list(
 )
 
 
-def add_bar_features(d: DataFrame, warmup: str) -> DataFrame:
-    """Technical, price-action, volume and regime columns in their order."""
-    d = price_action.add_price_action(technical.add_technical(d))
-    return regime.add_regime(volume.add_volume(d), warmup)
-
-
 def add_features(bars: DataFrame, warmup: str = "reference", segmented: bool | None = None) -> DataFrame:
-    """Feature columns of clean bars.
+    """Feature columns of clean bars, all groups in common stages.
 
-    Daily bars: one exchange by symbol serves all stages.  The multi-timeframe
-    stage comes first because it sorts differently and the rows are still
-    narrow there; no stage reads a column that another replaces.
+    Daily bars: one exchange by symbol serves all stages.  The period features
+    come first because they sort differently and the rows are still narrow.
 
     Bars with a time of day: symbols are cut into segments first, and the
     period columns are joined, because a period can be longer than a segment.
     """
     if segmented is None:
         segmented = segments.unbounded(bars)
-    if not segmented:
-        d = add_bar_features(timeframe.add_timeframes(bars), warmup)
-        return d.select(*bars.columns, *FEATURES)
-    narrow = bars
-    for frame in timeframe.FRAMES:
-        narrow = timeframe.join_periods(narrow, bars, frame)
-    d = add_bar_features(segments.split(narrow), warmup)
-    return timeframe.alignment(d).filter("_core").select(*bars.columns, *FEATURES)
+    if segmented:
+        narrow = bars
+        for frame in timeframe.FRAMES:
+            narrow = timeframe.join_periods(narrow, bars, frame)
+        d = segments.split(narrow)
+    else:
+        d = timeframe.with_periods(bars)
+    d = staged(
+        d, technical.CORE, technical.TECHNICAL, price_action.PRICE_ACTION, volume.VOLUME, regime.regime_stage(warmup),
+        timeframe.TIMEFRAMES,
+    )
+    if segmented:
+        d = d.filter("_core")
+    return regime.named(d).select(*bars.columns, *FEATURES)
 
 
 def build_features(bars: DataFrame, warmup: str = "reference") -> DataFrame:

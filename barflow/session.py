@@ -8,8 +8,13 @@ from pyspark.sql import SparkSession
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Keep code generation on for the wide feature stages."""
+    """Settings for the wide feature stages.
+
+    Code generation stays on for them, but not for methods that the virtual
+    machine would refuse to compile because of their size (8000 bytes).
+    """
     spark.conf.set("spark.sql.codegen.maxFields", "400")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 

@@ -386,7 +386,7 @@ def _pick(*columns: str) -> Query:
 
 def q_relative_strength(spark, sf_dir):
     b = D.bars(tune(spark), sf_dir)
-    return tidy(M.relative_strength(technical.add_technical(b), market.market_summary(D.market_index(b))))
+    return tidy(M.relative_strength(technical.technical(b), market.market_summary(D.market_index(b))))
 
 
 def q_confidence_gate(spark, sf_dir):
@@ -438,7 +438,7 @@ def _pairs(spark, sf_dir):
 def decision_queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: _pick(*columns) for name, columns in DECISION_COLUMNS.items()}
     return out | {
-        "market_structure": on_bars(lambda b: M.market_structure(technical.add_technical(b))),
+        "market_structure": on_bars(lambda b: M.market_structure(technical.technical(b))),
         "relative_strength": q_relative_strength,
         "signal": on_bars(
             lambda b: D.predictions(b).select("symbol", "ts", M.signal(F.col("p_up"), 0.60).alias("signal"))
@@ -448,7 +448,7 @@ def decision_queries() -> dict[str, Query]:
         "confidence_gate": q_confidence_gate,
         "polarity": q_polarity,
         "latest_row": on_bars(
-            lambda b: M.latest_row(technical.add_technical(b), {"close": 0.0, "rsi14": 50.0, "adx": 0.0})
+            lambda b: M.latest_row(technical.technical(b), {"close": 0.0, "rsi14": 50.0, "adx": 0.0})
         ),
         "analyze": q_analyze,
     }
