@@ -33,6 +33,7 @@ def local_session(cpus: str | None = None, app: str = "barflow") -> SparkSession
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
