@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fingerprints import fingerprints
+from .mixing import mix_documents
 from .quality import fit_quality, score_quality
 from .shared import remainder
 from .token_count import token_counts
@@ -34,10 +36,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder() == 0).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score_quality(docs, fit_quality(docs, labels.where(remainder() != 0)))
     return scored.select("doc_id", (remainder() == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op6_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_mix_sources, op5_fingerprints, op6_quality)}
