@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .fingerprints import fingerprints
 from .mixing import mix_documents
+from .near_duplicates import near_duplicates
 from .quality import fit_quality, score_quality
 from .shared import remainder
 from .token_count import token_counts
@@ -50,4 +51,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder() == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_mix_sources, op5_fingerprints, op6_quality)}
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_mix_sources, op5_fingerprints, op6_quality, op7_near_duplicates)}
