@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .fingerprints import fingerprints
 from .mixing import mix_documents
 from .near_duplicates import near_duplicates
+from .parse import drop_repeats
 from .quality import fit_quality, score_quality
 from .shared import remainder
 from .token_count import token_counts
@@ -55,4 +56,9 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_mix_sources, op5_fingerprints, op6_quality, op7_near_duplicates)}
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_mix_sources, op5_fingerprints, op6_quality, op7_near_duplicates, op10_repeated_passages)}
