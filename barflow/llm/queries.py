@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fingerprints import fingerprints
+from .hmm import language_scores
 from .mixing import mix_documents
 from .near_duplicates import near_duplicates
 from .parse import drop_repeats
@@ -61,4 +62,8 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_mix_sources, op5_fingerprints, op6_quality, op7_near_duplicates, op10_repeated_passages)}
+def op8_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_mix_sources, op5_fingerprints, op6_quality, op7_near_duplicates, op8_language_scores, op10_repeated_passages)}
