@@ -103,7 +103,7 @@ def pieces(rows: DataFrame, block: int) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, block: int = 128, **settings) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each row of (doc_id, text, source).
+    """(doc_id, size, source_size, target, taken, source) for each row of (doc_id, text, source).
 
     A null text has no words; a null source is a source of its own, last in order. Repeated rows and repeated ids are rows
     of their own. Results follow from the rows and the seed alone. An empty table gives no rows.
@@ -115,7 +115,8 @@ def mix_documents(docs: DataFrame, block: int = 128, **settings) -> DataFrame:
         .groupBy("skey", "bucket", "row").agg(F.sum((F.col("end") - F.col("start")) * F.col("times")).alias("taken"))
     )
     rows = mix.rows.join(taken, ["skey", "bucket", "row"], "left").join(mix.sources, "skey")
-    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    source = F.when(F.col("skey") != "null", F.substring("skey", 2, 2**31 - 1)).alias("source")
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), source)
 
 
 def mixed_blocks(docs: DataFrame, block: int = 128, **settings) -> DataFrame:

@@ -201,11 +201,12 @@ def repeated_runs(docs: DataFrame, width: int, gram: int) -> DataFrame:
     return found.where("again").select("doc_id", "pos", "n").union(later.select("doc_id", "pos", F.lit(1).cast("long").alias("n")))
 
 
-def drop_repeats(docs: DataFrame, width: int = 100, gram: int = 32, keep: tuple[str, ...] = ()) -> DataFrame:
+def drop_repeats(docs: DataFrame, width: int = 100, gram: int = 32, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """(doc_id, keep..., n_bytes, n_removed, spans, kept) for each row of (doc_id, text).
 
     Of every text the bytes are removed that a string of `width` bytes covers which also starts earlier: in a smaller id or
-    before in the same text. `spans` are the separate removed byte ranges, `kept` the remaining bytes.
+    before in the same text. `spans` are the separate removed byte ranges, `kept` the remaining bytes, or with
+    `as_text` their text without the characters that a removal has cut.
 
     A null text counts as empty; texts shorter than `width` bytes stay whole. Rows of one repeated id are ordered by the
     hashes of their texts and count as documents of their own; null ids count as one id, before all others. An empty table
@@ -245,11 +246,12 @@ def drop_repeats(docs: DataFrame, width: int = 100, gram: int = 32, keep: tuple[
                 kept.append(text[~gone[:-1]].tobytes())
             whole = np.diff(at)
             left = np.array([len(x) for x in kept], np.int64)
-            columns = [*(batch.column(c) for c in carried), pa.array(whole), pa.array(whole - left), pa.array(spans, span), pa.array(kept, pa.binary())]
+            remaining = pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            columns = [*(batch.column(c) for c in carried), pa.array(whole), pa.array(whole - left), pa.array(spans, span), remaining]
             yield pa.RecordBatch.from_arrays(columns, [*carried, "n_bytes", "n_removed", "spans", "kept"])
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried)
     whole = rows.join(runs, ["doc_id", "sub"], "left").select(*carried, "text", "places", "counts")
-    whole = whole.mapInArrow(remove, f"{schema}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    whole = whole.mapInArrow(remove, f"{schema}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept {'string' if as_text else 'binary'}")
     return whole.withColumnRenamed("_id", "doc_id")

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import find_benchmark
 from .fingerprints import fingerprints
 from .hmm import language_scores
 from .mixing import mix_documents
@@ -16,6 +17,7 @@ from .quality import fit_quality, score_quality
 from .shared import remainder
 from .token_count import token_counts
 from .toxicity import fit_toxicity, score_toxicity
+from .wrappers import extract_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +41,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder() == 0).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
 
 
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
@@ -57,6 +63,12 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
+    return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_hits"), items.alias("item_ids"), F.array_min(F.transform("hits", lambda h: h["edits"])).alias("fewest_edits"))
+
+
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drop_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -66,4 +78,10 @@ def op8_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_mix_sources, op5_fingerprints, op6_quality, op7_near_duplicates, op8_language_scores, op10_repeated_passages)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_toxicity, op3_page_text, op4_mix_sources, op5_fingerprints, op6_quality, op7_near_duplicates, op8_language_scores,
+        op9_decontamination, op10_repeated_passages,
+    )
+}
