@@ -3,8 +3,8 @@
 A document's signature has 40 positions of 16 bits, one for each hash function's smallest shingle. Two documents are at the
 distance of the number of positions in which they differ. Cut into 8 chunks of 5 positions, two signatures at a distance of
 15 or less differ in at most one position of some chunk (pigeonhole: 8 * 2 > 15), so they meet under the key of that chunk
-without that position: every document has 8 * 5 keys, and no pair under the distance is lost. At a similarity of 0.85 a pair
-misses all keys with a chance of 6e-7.
+without that position: every document has 8 * 5 keys, and no pair under the distance is lost. A pair misses all keys with a
+chance of 6e-7 at a similarity of 0.85, and of 2e-5 at 0.8.
 
 What meets is confirmed on the full shingle sets. Within a key no pairs are made at first: all are compared with a pivot, so
 that a group of copies becomes one component. Only keys that then still hold several components go on, with other pivots,
@@ -136,7 +136,7 @@ def close_pairs(pairs: DataFrame, members: DataFrame, index: Index, percent: int
     return both.where(sized & (distance <= index.distance + index.slack)).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, index: Index = Index(), pivots: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, index: Index = Index(), pivots: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text).
 
     Texts without words (null, empty, blank) have the size 0 and stand alone. Equal sets form one class that its smallest id
