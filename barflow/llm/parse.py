@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import slices, text_or_empty, utf8, written
+from .shared import release, slices, text_or_empty, utf8, written
 from .words import BYTES, mixed
 
 POWER = np.uint64(0x9E3779B97F4A7C15)
@@ -63,11 +63,11 @@ def sliding_least(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def phrases(data: np.ndarray, at: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Document number, first window start, number of windows, trigger hash and content hash of each phrase of the texts."""
+    """Of each phrase: document number, first window start, number of windows, trigger hash, content hash, trigger's offset."""
     n = len(data) - width + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64), none
     g, whole = rolling(data, gram), rolling(data, width)
     packed = (g & ~np.uint64(0xFFFFFF)) | np.arange(len(g), dtype=np.uint64)
     trigger = (sliding_least(packed, width - gram + 1)[:n] & np.uint64(0xFFFFFF)).astype(np.int64)
@@ -82,7 +82,7 @@ def phrases(data: np.ndarray, at: np.ndarray, width: int, gram: int) -> tuple[np
     # the first and the last window of a phrase overlap, so together they are its bytes
     with np.errstate(over="ignore"):
         u = mixed(whole[first] * POWER + whole[last] + (count * 256 + trigger[first] - first).astype(np.uint64))
-    return owner[first], first, count, g[trigger[first]], u
+    return owner[first], first, count, g[trigger[first]], u, trigger[first] - first
 
 
 def parts(data: np.ndarray, at: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -110,7 +110,7 @@ def parse(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
     REPEAT: a run of windows that the task has seen earlier in the corpus. ENTRY: the first of its kind in the task, at home
     with its trigger. AMBIGUOUS: likewise, but the task knows that its trigger has several contexts; all of these but one are
-    at home by themselves.
+    at home by themselves. `kind` is one of these plus four times the trigger's offset in the phrase.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,16 +119,16 @@ def parse(docs: DataFrame, width: int, gram: int) -> DataFrame:
             data, at = utf8(batch.column("text"))
             ids, subs = ids_and_places(batch)
             for piece, offsets, numbers, places in parts(data, at, width):
-                owner, first, n, g, u = phrases(piece, offsets, width, gram)
+                owner, first, n, g, u, off = phrases(piece, offsets, width, gram)
                 if len(first):
                     row = numbers[owner]
-                    held.append((g, u, n, ids[row], (subs[row] << SHIFT) + first - offsets[owner] + places[owner]))
+                    held.append((g, u, n, off.astype(np.int32), ids[row], (subs[row] << SHIFT) + first - offsets[owner] + places[owner]))
         if not held:
             return
-        g, u, n, doc, pos = (np.concatenate(x) for x in zip(*held))
+        g, u, n, off, doc, pos = (np.concatenate(x) for x in zip(*held))
         held.clear()
         order = np.lexsort((pos, doc, u, g))
-        g, u, n, doc, pos = (x[order] for x in (g, u, n, doc, pos))
+        g, u, n, off, doc, pos = (x[order] for x in (g, u, n, off, doc, pos))
         again, other = np.zeros(len(g), bool), np.zeros(len(g), bool)
         same = g[1:] == g[:-1]
         again[1:] = same & (u[1:] == u[:-1])
@@ -138,7 +138,7 @@ def parse(docs: DataFrame, width: int, gram: int) -> DataFrame:
         lead = np.zeros(len(g), bool)
         lead[start] = True
         entry = np.flatnonzero(~again)
-        kind = np.where(several[entry], AMBIGUOUS, ENTRY).astype(np.int32)
+        kind = np.where(several[entry], AMBIGUOUS, ENTRY).astype(np.int32) + off[entry] * 4
         home = np.where(several[entry] & ~lead[entry], mixed(g[entry] ^ u[entry]), g[entry])
         yield from _cut(kind, home, u[entry], n[entry], doc[entry], pos[entry])
         del kind, home, entry, start, several, lead, other, g, u
@@ -169,36 +169,67 @@ def repeated_runs(docs: DataFrame, width: int, gram: int) -> DataFrame:
     """
     order = Window.partitionBy("home").orderBy("u", "doc_id", "pos")
     group = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    again = (F.col("kind") == REPEAT) | F.coalesce(F.lag("u").over(order) == F.col("u"), F.lit(False))
-    unclear = (F.first("u").over(group) != F.last("u").over(group)) | (F.max("kind").over(group) == AMBIGUOUS)
+    again = (F.col("kind") % 4 == REPEAT) | F.coalesce(F.lag("u").over(order) == F.col("u"), F.lit(False))
+    unclear = (F.first("u").over(group) != F.last("u").over(group)) | (F.max(F.col("kind") % 4).over(group) == AMBIGUOUS)
     found = parse(docs, width, gram).withColumn("again", again).withColumn("unclear", unclear)
-    found = written(found.where("again or unclear").select("again", "n", "doc_id", "pos"), "phrases")
+    off = F.floor(F.col("kind") / 4).cast("long").alias("off")
+    found = written(found.where("again or unclear").select("again", "n", off, "doc_id", "pos"), "phrases")
+
+    # dictionary entries that share a trigger, in two sides: windows with at least `half` bytes before the trigger, and others
+    entries = found.where("not again").withColumn("sub", F.shiftright("pos", SHIFT).cast("int"))
+    entries = entries.groupBy("doc_id", "sub").agg(*(F.collect_list(c).alias(c) for c in ("pos", "n", "off")))
+    sides = docs.join(entries, ["doc_id", "sub"]).select("doc_id", "sub", "text", "pos", "n", "off")
+    sides = written(sides.mapInArrow(entry_sides(width, gram), "key long, doc_id long, pos long, bytes binary"), "sides")
+    release(docs.sparkSession)
+    shared = sides.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    each = written(sides.join(shared, "key").select("doc_id", "pos", "bytes").mapInArrow(windows_of(width), "h long, doc_id long, pos long"), "windows")
+    first = each.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("c")).where("c > 1").select("h", "first")
+    later = each.join(first, "h").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
+    return found.where("again").select("doc_id", "pos", "n").union(later.select("doc_id", "pos", F.lit(1).cast("long").alias("n")))
+
 
-    # dictionary entries that share a trigger: their windows one by one
-    sub = F.shiftright("pos", SHIFT).cast("int")
-    entries = found.where("not again").withColumn("sub", sub).groupBy("doc_id", "sub")
-    entries = entries.agg(F.collect_list("pos").alias("places"), F.collect_list("n").alias("counts"))
+def entry_sides(width: int, gram: int):
+    """(key, doc_id, pos, bytes) for both sides of the entries of a text: only sides of equal keys can share windows.
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A window has width - gram bytes besides its trigger, so at least half of them before it or at least half after it. The
+    key is the trigger with that half; the bytes are those of the side's windows, of which the first starts at pos.
+    """
+    half = (width - gram) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=PART):
             data, at = utf8(batch.column("text"))
             ids, subs = ids_and_places(batch)
-            whole = rolling(data, width)
-            sizes = np.array([len(x) for x in batch.column("places")], np.int64)
-            pos, n = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("places", "counts"))
-            owner = np.repeat(np.arange(batch.num_rows), sizes)
+            keys = rolling(data, gram + half)
+            owner = np.repeat(np.arange(batch.num_rows), [len(x) for x in batch.column("pos")])
+            pos, n, off = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("pos", "n", "off"))
+            first = at[owner] + pos - (subs[owner] << SHIFT)
+            trigger, stop = first + off, first + n
+            for k, (a, b) in enumerate(((first, np.minimum(trigger - half + 1, stop)), (np.maximum(trigger - half + 1, first), stop))):
+                some = np.flatnonzero(b > a)
+                a, b, t = a[some], b[some], trigger[some]
+                key = mixed(keys[t - half] if k == 0 else keys[t] + np.uint64(1)).view(np.int64)
+                view = memoryview(data.tobytes())
+                texts = pa.array([view[x : y + width - 1].tobytes() for x, y in zip(a.tolist(), b.tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[owner[some]]), pa.array(pos[some] + a - first[some]), texts], ["key", "doc_id", "pos", "bytes"])
+
+    return run
+
+
+def windows_of(width: int):
+    """(h, doc_id, pos) for every window in the bytes of (doc_id, pos, bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "bytes", most=PART):
+            data, at = utf8(batch.column("bytes"))
+            n = np.diff(at) - width + 1
             step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            place, owner = np.repeat(pos, n) + step, np.repeat(owner, n)
-            h = whole[at[owner] + place - (subs[owner] << SHIFT)].view(np.int64)
-            for i in range(0, len(place), 100_000):
-                j = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(h[j]), pa.array(ids[owner[j]]), pa.array(place[j])], ["h", "doc_id", "pos"])
-
-    each = docs.join(entries, ["doc_id", "sub"]).select("doc_id", "sub", "text", "places", "counts").mapInArrow(windows, "h long, doc_id long, pos long")
-    each = written(each, "windows")
-    first = each.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("c")).where("c > 1").select("h", "first")
-    later = each.join(first, "h").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
-    return found.where("again").select("doc_id", "pos", "n").union(later.select("doc_id", "pos", F.lit(1).cast("long").alias("n")))
+            h = rolling(data, width)[np.repeat(at[:-1], n) + step].view(np.int64)
+            doc, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "pos"))
+            columns = [pa.array(h), pa.array(np.repeat(doc, n)), pa.array(np.repeat(pos, n) + step)]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "doc_id", "pos"])
+
+    return run
 
 
 def drop_repeats(docs: DataFrame, width: int = 100, gram: int = 32, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
@@ -221,6 +252,7 @@ def drop_repeats(docs: DataFrame, width: int = 100, gram: int = 32, keep: tuple[
         rows = rows.withColumn("sub", F.lit(0))
     rows = rows.withColumnRenamed("doc_id", "_id").withColumn("doc_id", F.coalesce(F.col("_id").cast("long"), F.lit(-(2**63))))
     runs = repeated_runs(rows.select("doc_id", "sub", "text"), width, gram)
+    release(docs.sparkSession)
     runs = runs.withColumn("sub", F.shiftright("pos", SHIFT).cast("int")).withColumn("pos", F.col("pos") - F.shiftleft(F.col("sub").cast("long"), SHIFT))
     runs = runs.groupBy("doc_id", "sub").agg(F.collect_list("pos").alias("places"), F.collect_list("n").alias("counts"))
     carried = ["_id", *keep]
