@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .shared import text_or_empty, written
 
 DRAWS = 32
+PER_ROW = 8
 SPACES = r"[\x20\x09-\x0D]+"
 #: Documents a bucket of neighbours has on average; 16 to 4096 buckets.
 BUCKET_DOCS = 1000
@@ -24,15 +25,19 @@ def _uniform(h: Column, k: int) -> Column:
     return (F.shiftrightunsigned(h, 16 * k).bitwiseAND(F.lit(65535)) + F.lit(0.5)) / F.lit(65536.0)
 
 
-def sample_key(term: Column, weight: Column, draw: int) -> Column:
-    """A long that sorts by the value of (term, draw) in its upper bits and names (term, m) in its lower 32 bits."""
-    h, g = F.xxhash64(term, F.lit(draw)), F.xxhash64(term, F.lit(draw + 1000))
+def draw_values(term: Column, draw: Column) -> list[Column]:
+    """r, b and ln c + r * (b - 1) of a term in a draw."""
+    h, g = F.xxhash64(term, draw), F.xxhash64(term, draw + 1000)
     r = -F.ln(_uniform(h, 0) * _uniform(h, 1))
     c = -F.ln(_uniform(h, 2) * _uniform(h, 3))
     b = (g.bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) / F.lit(4294967296.0)
-    m = F.floor(F.ln(weight) / r + b)
-    value = F.ln(c) - r * (m - b + 1)
-    upper = F.greatest(F.lit(0.0), F.least(F.lit(127.99), value + 96)) * F.lit(16777216.0)
+    return [r, b, F.ln(c) + r * (b - 1)]
+
+
+def sample_key(term: Column, log_weight: Column, r: Column, b: Column, q: Column) -> Column:
+    """A long that sorts by the value of the term in its upper bits and names (term, m) in its lower 32 bits."""
+    m = F.floor(log_weight / r + b)
+    upper = F.greatest(F.lit(0.0), F.least(F.lit(127.99), q - r * m + 96)) * F.lit(16777216.0)
     name = term.bitwiseXOR(F.shiftleft(m, 20)).bitwiseAND(F.lit(0xFFFFFFFF))
     return F.shiftleft(upper.cast("long"), 32).bitwiseOR(name)
 
@@ -61,8 +66,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = Window.orderBy(F.col("bucket").desc())
     after = F.coalesce(F.lead("head").over(order), F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     heads = heads.select(F.col("bucket").alias("last_of"), after.alias("head"))  # at most 4096 rows
-    texts = heads.join(rows.select("key", "tie", F.col("text").alias("head_text")), (F.col("head.key") == F.col("key")) & (F.col("head.tie") == F.col("tie")))
-    texts = texts.groupBy(F.col("last_of").alias("bucket")).agg(F.first("head_text").alias("head_text"))
+    heads = heads.select("last_of", F.col("head.key").alias("key"), F.col("head.tie").alias("tie"))
+    texts = rows.select("key", "tie", F.col("text").alias("head_text")).join(F.broadcast(heads), ["key", "tie"])
+    texts = written(texts.groupBy(F.col("last_of").alias("bucket")).agg(F.first("head_text").alias("head_text")), "heads")
 
     w = Window.partitionBy("bucket").orderBy(F.col("key").desc(), F.col("tie").desc())
     rows = rows.withColumn("row", F.row_number().over(w)).withColumn("inside", F.lead("text").over(w))
@@ -78,14 +84,23 @@ def term_weights(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFram
 
 
 def sample(terms: DataFrame, keys: list[str], sides: int, draws: int) -> DataFrame:
-    """f0, f1, ...: for each side the array of the samples' names; missing where a side has no terms."""
-    names = [[f"k{s}_{i}" for i in range(draws)] for s in range(sides)]
-    found = [
-        F.min(F.when(F.col(f"w{s}") > 0, sample_key(F.col("term"), F.col(f"w{s}").cast("double"), i))).alias(names[s][i]) for s in range(sides) for i in range(draws)
-    ]
-    least = terms.groupBy(*keys).agg(*found)
-    whole = [F.when(F.col(n[0]).isNotNull(), F.array(*(F.col(x).bitwiseAND(F.lit(0xFFFFFFFF)) for x in n))).alias(f"f{s}") for s, n in enumerate(names)]
-    return least.select(*keys, *whole)
+    """f0, f1, ...: for each side the array of the samples' names; missing where a side has no terms.
+
+    Draws are made PER_ROW at a time, on copies of the term's row: one aggregate over all draws would be more code than the
+    virtual machine compiles.
+    """
+    turns = -(-draws // PER_ROW)
+    logs = [F.when(F.col(f"w{s}") > 0, F.ln(F.col(f"w{s}").cast("double"))).alias(f"l{s}") for s in range(sides)]
+    turned = terms.select(*keys, "term", *logs, F.explode(F.array(*(F.lit(t) for t in range(turns)))).alias("turn"))
+    values = [v.alias(f"{n}{i}") for i in range(PER_ROW) for n, v in zip("rbq", draw_values(F.col("term"), F.col("turn") * PER_ROW + i))]
+    drawn = turned.select(*keys, "turn", "term", *(f"l{s}" for s in range(sides)), *values)
+    names = [[f"k{s}_{i}" for i in range(PER_ROW)] for s in range(sides)]
+    found = [F.min(sample_key(F.col("term"), F.col(f"l{s}"), *(F.col(f"{n}{i}") for n in "rbq"))).alias(names[s][i]) for s in range(sides) for i in range(PER_ROW)]
+    least = drawn.groupBy(*keys, "turn").agg(*found)
+    part = [F.when(F.col(n[0]).isNotNull(), F.array(*(F.col(x).bitwiseAND(F.lit(0xFFFFFFFF)) for x in n))).alias(f"f{s}") for s, n in enumerate(names)]
+    whole = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("turn", *part))).alias("parts"))
+    joined = [F.slice(F.flatten(F.col(f"parts.f{s}")), 1, draws).alias(f"f{s}") for s in range(sides)]
+    return whole.select(*keys, *joined)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -111,7 +126,8 @@ def fingerprints(docs: DataFrame, draws: int = DRAWS) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next", F.lit(1), third))
     rows = with_next(docs).select("bucket", "row", "doc_id", "text", edited.alias("edited"))
     keys = ["bucket", "row"]
-    prints = sample(term_weights(rows, keys, ["text", "edited"]), keys, 2, draws)
+    # both branches read the same columns, so that they share the one shuffle of the texts
+    prints = sample(term_weights(rows, [*keys, "doc_id"], ["text", "edited"]), [*keys, "doc_id"], 2, draws).drop("doc_id")
     facts = rows.select(*keys, "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     whole = written(facts.join(prints, keys, "left"), "fingerprints")
 
