@@ -26,11 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         # large star: every larger neighbour of u moves to the smallest of u and its neighbours
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u != v").distinct()
-        large = written(large, "edges")
         # small star: u and its smaller neighbours move to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        moved = F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u"))
+        small = large.join(least, "u").select(F.explode(F.array(moved, "u")).alias("u"), F.col("m").alias("v"))
+        now = written(small.distinct(), "edges")
         before, state = state, _state(now)
     labels = now.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("id"), "label")
     return labels.union(labels.select(F.col("label").alias("id"), "label").distinct())

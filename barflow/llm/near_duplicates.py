@@ -7,8 +7,9 @@ without that position: every document has 8 * 5 keys, and no pair under the dist
 chance of 6e-7 at a similarity of 0.85, and of 2e-5 at 0.8.
 
 What meets is confirmed on the full shingle sets. Within a key no pairs are made at first: all are compared with a pivot, so
-that a group of copies becomes one component. Only keys that then still hold several components go on, with other pivots,
-and at last with the pairs of different components.
+that a group of copies becomes one component. Only keys that then still hold several components go on: of their members,
+those are set aside that have too few shingles in common with other components to be linked to any, and the others are
+compared across components.
 """
 
 from __future__ import annotations
@@ -127,16 +128,44 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(y, "v").join(x, "u").select("u", "v", "x", "y").mapInArrow(check, "u long, v long")
 
 
+def can_link(index: Index, percent: int, n: str, m: str, sig: str, other: str):
+    """Whether set sizes and signatures allow a link."""
+    distance = F.aggregate(F.zip_with(sig, other, lambda a, b: (a != b).cast("int")), F.lit(0), lambda k, x: k + x)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (distance <= index.distance + index.slack)
+
+
 def close_pairs(pairs: DataFrame, members: DataFrame, index: Index, percent: int) -> DataFrame:
     """Of the candidate pairs (u, v), those that signature and set sizes allow."""
     side = lambda name, other: members.select(F.col("id").alias(name), F.struct("sig", "n").alias(other))
     both = pairs.join(side("v", "q"), "v").join(side("u", "p"), "u")
-    distance = F.aggregate(F.zip_with("p.sig", "q.sig", lambda a, b: (a != b).cast("int")), F.lit(0), lambda n, x: n + x)
-    sized = F.least("p.n", "q.n") * 100 >= F.greatest("p.n", "q.n") * percent
-    return both.where(sized & (distance <= index.distance + index.slack)).select("u", "v")
+    return both.where(can_link(index, percent, "p.n", "q.n", "p.sig", "q.sig")).select("u", "v")
+
+
+def linkable(tagged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, common) of the members (key, id, label, n) that can have a link to another label; `common` counts the shingles that
+    other labels have too.
+
+    Sets of n and m shingles are linked only with an intersection of percent / (100 + percent) * (n + m). It is at most
+    `common`, m is at least percent / 100 * n and at least the smallest size in the member's keys.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "set", most=4_000_000):
+            data, at = utf8(batch.column("set"))
+            times = np.diff(at) // 8
+            columns = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), times)) for c in ("id", "label")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)), *columns], ["s", "id", "label"])
+
+    least = tagged.groupBy("key").agg(F.min("n").alias("least"))
+    ids = tagged.join(least, "key").groupBy("id").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.min("least").alias("least"))
+    each = sets.join(ids.select("id", "label"), "id").select("id", "label", "set").mapInArrow(shingles, "s long, id long, label long")
+    shared = each.groupBy("s").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("s")
+    found = each.join(shared, "s").groupBy("id").agg(F.count("*").alias("common")).join(ids, "id")
+    enough = F.col("common") * (100 + percent) >= percent * (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100)))
+    return written(found.where(enough).select("id", "common"), "linkable")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, index: Index = Index(), pivots: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, index: Index = Index()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text).
 
     Texts without words (null, empty, blank) have the size 0 and stand alone. Equal sets form one class that its smallest id
@@ -147,9 +176,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, index: I
     whole = signed.where("n > 0 and doc_id is not null")
     classes = whole.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
     members = written(classes.select("id", "n", "sig", "h1", "h2"), "classes")
-    keyed = members.select("id", F.explode(chunk_keys(index)).alias("key"))
-    crowded = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    keyed = written(keyed.join(crowded.select("key"), "key"), "keys")
+    keyed = members.select("id", F.posexplode(chunk_keys(index)).alias("k", "key"))
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    keyed = written(keyed.join(crowded, "key"), "keys")
 
     ids = keyed.select("id").distinct()
     chosen = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text")).join(ids, "id", "left_semi")
@@ -164,27 +193,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, index: I
     sets = written(sets, "sets")
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        return written(confirmed(close_pairs(pairs, members, index, percent), sets, percent), "links")
-
-    tagged, edges, labels, open_pairs = keyed.withColumn("label", F.col("id")), None, None, None
-    for k in range(pivots):
-        order = F.col("id") if k == 0 else F.xxhash64(F.lit(k), "id")
-        pivot = tagged.groupBy("key").agg(F.min_by(F.struct("id", "label"), order).alias("p"))
-        found = links(tagged.join(pivot, "key").where("label != p.label").select(F.col("p.id").alias("u"), F.col("id").alias("v")))
-        edges = found if edges is None else edges.union(found)
-        labels = written(components(edges), "labels")
-        tagged = keyed.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        open_keys = tagged.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
-        tagged = written(tagged.join(open_keys, "key").select("id", "key", "label"), "open")
-        parts = tagged.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
-        left = parts.agg(F.count("*").alias("keys"), F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("s"), F.lit(0)).alias("rows")).first()
-        if left.pairs <= 16 * left.rows:
-            break  # the keys are small, other pivots save nothing
-    if left.pairs:
-        other = tagged.select("key", F.col("id").alias("v"), F.col("label").alias("other"))
-        edges = edges.union(links(tagged.join(other, "key").where("label < other").select(F.col("id").alias("u"), "v")))
-        labels = components(edges)
+        return written(confirmed(close_pairs(pairs.distinct(), members, index, percent), sets, percent), "links")
+
+    ordered = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    # every member of a key with its pivot: the member that meets most others, over all its keys
+    central = keyed.groupBy("id").agg(F.sum("c").alias("central"))
+    pivot = keyed.join(central, "id").groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("first"))).alias("p"))
+    star = keyed.join(pivot.select("key", (-F.col("p.first")).alias("pivot")), "key").where("id != pivot")
+    edges = links(star.select(*ordered("id", "pivot")))
+    labels = written(components(edges), "labels")
+
+    # keys that still hold several components: the pairs of their members that can be links
+    tagged = keyed.join(labels, "id", "left").select("key", "k", "id", F.coalesce("label", "id").alias("label"))
+    mixed_keys = tagged.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+    tagged = written(tagged.join(mixed_keys, "key").join(members.select("id", "n"), "id"), "open")
+    left = tagged.join(linkable(tagged, sets, percent).join(members.select("id", "sig", chunk_keys(index).alias("keys")), "id"), "id")
+    right = left.select("key", *(F.col(c).alias(f"{c}_") for c in ("id", "label", "n", "common", "sig", "keys")))
+    first = F.array_position(F.zip_with("keys", "keys_", lambda a, b: a == b), F.lit(True)) == F.col("k") + 1  # each pair once
+    overlap = F.least("common", "common_") * (100 + percent) >= percent * (F.col("n") + F.col("n_"))
+    possible = (F.col("label") < F.col("label_")) & overlap & first & can_link(index, percent, "n", "n_", "sig", "sig_")
+    pairs = left.join(right, "key").where(possible)
+    more = links(pairs.select(*ordered("id", "id_")))
+    labels = components(more.union(labels.where("id != label").select(F.col("id").alias("u"), F.col("label").alias("v"))))
 
     by_class = members.join(labels, "id", "left").select("n", "h1", "h2", F.coalesce("label", "id").alias("class"))
     rows = signed.join(by_class, ["n", "h1", "h2"], "left").select("doc_id", "n", F.coalesce("class", "doc_id").alias("component_id"))
