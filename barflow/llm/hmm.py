@@ -99,7 +99,15 @@ def token_counts(docs: DataFrame, shared: int) -> DataFrame:
 
 
 def fit_classes(counts: DataFrame, frequent: int, shared: int) -> Classes:
-    top = counts.orderBy(F.desc("c"), "h").limit(frequent).select("h", "c", "tail").toPandas()
+    """The commonest tokens, at most `frequent`: all above a count, on a logarithmic scale of at most some thousand steps."""
+    step = F.floor(F.log2("c") * 32).cast("int")
+    least, many = 1 << 30, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        many += r.n
+        if many > frequent:
+            break
+        least = r.step
+    top = counts.where(step >= least).select("h", "c", "tail").toPandas()
     h = top.h.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     n, v = np.zeros(shared), np.zeros(shared)
