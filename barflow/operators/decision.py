@@ -20,46 +20,56 @@ def _votes(*pairs: tuple[Column, Column]) -> Column:
 
 def market_structure(features: DataFrame) -> DataFrame:
     """Trend, momentum and volume state of every bar with their vote counts."""
+    return with_structure(features).select("symbol", "ts", "structure.*")
+
+
+def with_structure(features: DataFrame) -> DataFrame:
+    """Add the state of every bar as the struct ``structure``, by projections alone."""
     c = F.col
     rsi = F.coalesce("rsi14", F.lit(50.0))
     hist = F.coalesce("macd_hist", F.lit(0.0))
     d = features.select(
         "*",
-        _votes((c("close"), c("ema20")), (c("ema20"), c("ema50")), (c("ema50"), c("ema200"))).alias("trend_score"),
+        _votes((c("close"), c("ema20")), (c("ema20"), c("ema50")), (c("ema50"), c("ema200"))).alias("_trend_score"),
         (
             F.when(rsi >= 55, 1.0).when(rsi <= 45, -1.0).otherwise(0.0)
             + F.when(hist > 0, 1.0).when(hist < 0, -1.0).otherwise(0.0)
-        ).alias("momentum_score"),
+        ).alias("_momentum_score"),
         F.when(c("relative_volume") >= 1.20, 1.0).when(c("relative_volume") <= 0.80, -1.0).otherwise(0.0)
-        .alias("volume_score"),
+        .alias("_volume_score"),
     )
-    return d.select(
-        "symbol",
-        "ts",
-        F.when(c("trend_score") >= 2, "BULLISH").when(c("trend_score") <= -2, "BEARISH").otherwise("NEUTRAL")
+    structure = F.struct(
+        F.when(c("_trend_score") >= 2, "BULLISH").when(c("_trend_score") <= -2, "BEARISH").otherwise("NEUTRAL")
         .alias("trend"),
-        F.when(c("momentum_score") >= 1, "POSITIVE").when(c("momentum_score") <= -1, "NEGATIVE")
+        F.when(c("_momentum_score") >= 1, "POSITIVE").when(c("_momentum_score") <= -1, "NEGATIVE")
         .otherwise("NEUTRAL").alias("momentum"),
-        F.when(c("volume_score") > 0, "EXPANDING").when(c("volume_score") < 0, "WEAK").otherwise("NORMAL")
+        F.when(c("_volume_score") > 0, "EXPANDING").when(c("_volume_score") < 0, "WEAK").otherwise("NORMAL")
         .alias("volume"),
-        "trend_score",
-        "momentum_score",
-        "volume_score",
+        c("_trend_score").alias("trend_score"),
+        c("_momentum_score").alias("momentum_score"),
+        c("_volume_score").alias("volume_score"),
         F.coalesce("adx", F.lit(0.0)).alias("adx"),
     )
+    return d.select("*", structure.alias("structure")).drop("_trend_score", "_momentum_score", "_volume_score")
 
 
 def relative_strength(features: DataFrame, market: DataFrame) -> DataFrame:
     """20-bar return of the stock minus that of the market, both as fractions.
 
-    The market has one row per day; the optimizer broadcasts it by its size.
+    The market is one index with one row per time; the optimizer broadcasts it by its size.
     """
+    d = features.select("symbol", "ts", "roc20").join(market.select("ts", "market_return"), "ts", "left")
+    return with_relative_strength(d).drop("roc20")
+
+
+def with_relative_strength(d: DataFrame) -> DataFrame:
+    """Add the comparison to rows that have ``roc20`` (percent) and ``market_return``."""
     c = F.col
-    other = market.select("ts", F.coalesce("market_return", F.lit(0.0)).alias("market_return"))
-    d = features.select("symbol", "ts", (F.coalesce("roc20", F.lit(0.0)) / 100.0).alias("stock_return"))
-    d = d.join(other, "ts", "left").na.fill({"market_return": 0.0})
-    d = d.select("symbol", "ts", "stock_return", "market_return",
-                 (c("stock_return") - c("market_return")).alias("relative_return"))
+    d = d.withColumns({
+        "stock_return": F.coalesce("roc20", F.lit(0.0)) / 100.0,
+        "market_return": F.coalesce("market_return", F.lit(0.0)),
+    })
+    d = d.select("*", (c("stock_return") - c("market_return")).alias("relative_return"))
     return d.select(
         "*",
         F.when(c("relative_return") > RELATIVE_BAND, "OUTPERFORMING")

@@ -7,6 +7,7 @@ without bootstrap and a deeper boosted model stand in for them.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -105,30 +106,48 @@ def class_weights(train: DataFrame) -> DataFrame:
 
 
 def fit_components(train: DataFrame, features: list[str], s: EnsembleSettings) -> dict[str, PipelineModel]:
-    """Imputation and component models fitted on the given rows only."""
+    """Imputation and component models fitted on the given rows only.
+
+    A feature without any value in these rows counts as 0 here and so takes no
+    part.  A component whose fit fails is named in a warning and left out.
+    """
     weighted, rows, classes = class_weights(with_missing_flags(train, features))
     if classes < 2:
         return {}
+    known = weighted.agg(*[F.count(c).alias(c) for c in features]).first()
+    weighted = weighted.withColumns({c: F.lit(0.0) for c in features if not known[c]})
     prepared = Pipeline(stages=median_impute(features, s.median_error)).fit(weighted)
     ready = prepared.transform(weighted).select("features", "target", "class_weight").persist()
     try:
-        fitted = {name: model.fit(ready) for name, model in base_models(s, rows).items()}
+        fitted = {}
+        for name, model in base_models(s, rows).items():
+            try:
+                fitted[name] = model.fit(ready)
+            except Exception as error:
+                warnings.warn(f"component {name} is left out: {error}", stacklevel=2)
     finally:
         ready.unpersist()
     return {name: PipelineModel(stages=[*prepared.stages, model]) for name, model in fitted.items()}
 
 
+def component_columns(df: DataFrame, models: dict[str, PipelineModel], features: list[str]) -> DataFrame:
+    """Add ``p_<model>`` for every component, in one pass: all share the imputation and chain their columns."""
+    d = with_missing_flags(df, features)
+    keep = [c for c in d.columns if c not in features and not c.endswith("_missing")]
+    for stage in next(iter(models.values())).stages[:-1]:
+        d = stage.transform(d)
+    for name, pipeline in models.items():
+        model = pipeline.stages[-1]
+        own = {model.probabilityCol: f"_v_{name}", model.rawPredictionCol: f"_r_{name}", model.predictionCol: f"_c_{name}"}
+        d = model.copy(own).transform(d)
+    return d.select(*keep, *[clip(vector_to_array(f"_v_{name}")[1], 0.0, 1.0).alias(f"p_{name}") for name in models])
+
+
 def component_probabilities(df: DataFrame, models: dict[str, PipelineModel], features: list[str]) -> DataFrame:
     """Long table (symbol, ts, ..., model, p_up) of all components."""
-    flagged = with_missing_flags(df, features)
     keys = [c for c in ("symbol", "ts", "fold", "target") if c in df.columns]
-    out = None
-    for name, model in models.items():
-        p = model.transform(flagged).select(
-            *keys, F.lit(name).alias("model"), clip(vector_to_array("probability")[1], 0.0, 1.0).alias("p_up")
-        )
-        out = p if out is None else out.unionByName(p)
-    return out
+    parts = [F.struct(F.lit(name).alias("model"), F.col(f"p_{name}").alias("p_up")) for name in models]
+    return component_columns(df, models, features).select(*keys, F.inline(F.array(*parts)))
 
 
 def oof_predict(
@@ -318,11 +337,19 @@ class Ensemble:
         return component_probabilities(df, self.models, self.features)
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
-        """Calibrated probability and agreement per row; batch or stream-static."""
-        parts = self.components(df)
-        vote = weighted_vote(parts, self.weights)
-        d = vote.join(model_agreement(parts).select("symbol", "ts", "agreement"), ["symbol", "ts"])
-        return d.select("symbol", "ts", self.calibrator.apply(F.col("p_up")).alias("p_up"), "agreement")
+        """Calibrated probability and agreement per row, as expressions on one pass; batch or stream."""
+        weight = {r["model"]: r["weight"] for r in self.weights.collect()}  # one row per model
+        d = component_columns(df, self.models, self.features)
+        ps = {name: F.col(f"p_{name}") for name in self.models}
+        total = lambda value: sum((value(n, p) for n, p in ps.items()), F.lit(0.0))
+        share = total(lambda n, p: F.when(p.isNotNull(), weight.get(n, 0.0)).otherwise(0.0))
+        vote = F.try_divide(total(lambda n, p: F.coalesce(p, F.lit(0.0)) * weight.get(n, 0.0)), share)
+        many = total(lambda n, p: p.isNotNull().cast("double"))
+        up = total(lambda n, p: F.coalesce((p >= 0.5).cast("double"), F.lit(0.0)))
+        return d.select(
+            "symbol", "ts", self.calibrator.apply(F.coalesce(vote, F.lit(0.5))).alias("p_up"),
+            F.try_divide(F.greatest(up, many - up), many).alias("agreement"),
+        )
 
     def feature_importance(self) -> list[tuple[str, float]]:
         """Weighted mean of the components' normalised importances, largest first.

@@ -134,7 +134,7 @@ def data_fingerprint(df: DataFrame, columns: list[str], config: str = "") -> Dat
     return df.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("rows"),
         F.bit_xor(row).alias("_xor"),
-        F.sum(F.shiftrightunsigned(row, 24)).alias("_sum"),
+        F.sum(row.cast("decimal(20,0)")).alias("_sum"),
     ).select(
         "symbol",
         "rows",

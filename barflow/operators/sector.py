@@ -71,7 +71,8 @@ def sector_map(df: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     fallback = F.coalesce(built_in_sector(F.col("symbol")), sector_pattern(F.col("symbol")))
     if mapping is None:
         return add(df, sector=fallback)
-    known = mapping.select(plain_symbol(F.col("symbol")).alias("_key"), F.col("sector").alias("_sector"))
+    # two names that clean to one key must not double the rows: the last spelling wins
+    known = mapping.groupBy(plain_symbol(F.col("symbol")).alias("_key")).agg(F.max_by("sector", "symbol").alias("_sector"))
     d = df.withColumn("_key", plain_symbol(F.col("symbol"))).join(known, "_key", "left")
     return d.select(*df.columns, F.coalesce(F.col("_sector"), fallback).alias("sector"))
 

@@ -40,15 +40,14 @@ def context_rows(
         features = last.select(*CONTEXT)
     on = ["symbol", "ts"]
     market = market_summary(index)
-    relative = M.relative_strength(features, market)
     d = features.join(predictions.select(*on, "p_up", "agreement"), on)
-    d = d.join(relative, on)
     d = d.join(
         market.select("ts", F.col("trend").alias("market_trend"), F.col("score").alias("market_score"),
-                      F.col("bias").alias("market_bias")),
+                      F.col("bias").alias("market_bias"), "market_return"),
         "ts",
         "left",
     )
+    d = M.with_relative_strength(d)
     d = d.join(
         sector_summary(bars, mapping).select(*on, "sector", F.col("trend").alias("sector_trend"),
                                              F.col("score").alias("sector_score")),
@@ -90,8 +89,4 @@ def decide(context: DataFrame, threshold: float = 0.60, stop: float = 0.03, targ
 def analyze(bars, predictions, index, mapping=None, sentiment=None, pairs=None, latest=True, threshold=0.60) -> DataFrame:
     """One decision row per symbol (or per bar), joined with the bar's structure."""
     context = context_rows(bars, predictions, index, mapping, sentiment, pairs, latest)
-    structure = M.market_structure(context).select(
-        "symbol", "ts",
-        F.struct("trend", "momentum", "volume", "trend_score", "momentum_score", "volume_score", "adx").alias("structure"),
-    )
-    return decide(context, threshold).join(structure, ["symbol", "ts"])
+    return decide(M.with_structure(context), threshold)

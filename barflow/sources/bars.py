@@ -82,19 +82,21 @@ def _number(name: str, dtype: T.DataType) -> Column:
     return c.try_cast("double") if isinstance(dtype, T.StringType) else c.cast("double")
 
 
-def _moment(df: DataFrame) -> Column:
-    dtype = df.schema["ts"].dataType
-    return F.col("ts").try_cast("date") if isinstance(dtype, T.StringType) else F.col("ts")
+def _moment(df: DataFrame, daily: bool) -> Column:
+    text = isinstance(df.schema["ts"].dataType, T.StringType)
+    moment = F.col("ts").try_cast("timestamp_ntz") if text else F.col("ts")
+    return moment.cast("date") if daily else moment
 
 
-def clean_bars(bars: DataFrame, strict: bool = False) -> DataFrame:
+def clean_bars(bars: DataFrame, strict: bool = False, daily: bool = False) -> DataFrame:
     """Numeric, complete bars with one row per (symbol, ts).
 
     Text is coerced, rows without a time are dropped, the last duplicate wins
     (highest ``seq``), and bars with a missing price are dropped.  A missing
     volume becomes 0, or with ``strict`` drops the bar; strict cleaning treats
     infinite values as missing and drops incomplete rows before it looks for
-    duplicates.  Duplicates are merged by a partial aggregate, so a symbol with
+    duplicates.  Times written as text keep their time of day; with ``daily``
+    all times become dates.  Duplicates are merged by a partial aggregate, so a symbol with
     many copies of its bars is reduced before the exchange.
     """
     types = {f.name: f.dataType for f in bars.schema.fields}
@@ -103,33 +105,35 @@ def clean_bars(bars: DataFrame, strict: bool = False) -> DataFrame:
     order = F.col("seq") if "seq" in types else None
     others = [c for c in bars.columns if c not in (*BAR_COLUMNS, "seq")]
     d = bars.select(
-        "symbol", _moment(bars).alias("ts"), *[v.alias(c) for c, v in values.items()], *others,
+        "symbol", _moment(bars, daily).alias("ts"), *[v.alias(c) for c, v in values.items()], *others,
         *([order.alias("seq")] if order is not None else []),
     ).filter(F.col("ts").isNotNull())
     if strict:
         d = d.na.drop(subset=VALUES)
     if order is not None:
-        d = d.groupBy("symbol", "ts").agg(
-            *[F.max_by(c, "seq").alias(c) for c in [*VALUES, *others]]
-        )
+        last = F.max_by(F.struct(*VALUES, *others), "seq").alias("_last")  # one row, also where seq ties
+        d = d.groupBy("symbol", "ts").agg(last).select("symbol", "ts", *[F.col(f"_last.`{c}`").alias(c) for c in [*VALUES, *others]])
     if not strict:
         d = d.na.drop(subset=PRICES).na.fill(0.0, subset=["volume"])
     return d
 
 
-def one_per_key(bars: DataFrame, by: Column) -> DataFrame:
-    """Keep, of several rows with the same (symbol, ts), the one ranked last."""
-    w = Window.partitionBy("symbol", "ts").orderBy(by.desc())
-    return bars.select("*", F.row_number().over(w).alias("_rank")).filter("_rank = 1").drop("_rank")
+def read_bars(
+    spark: SparkSession, path: str, fmt: str = "csv", symbol: str | None = None, daily: bool = False
+) -> DataFrame:
+    """Bars from CSV (with header) or Parquet files, renamed and cleaned.
 
-
-def read_bars(spark: SparkSession, path: str, fmt: str = "csv", symbol: str | None = None) -> DataFrame:
-    """Bars from CSV (with header) or Parquet files, renamed and cleaned."""
+    Without a ``seq`` column the place in the files tells which of two bars of
+    one time is the last: by file name, then by row.
+    """
     if fmt == "csv":
         raw = spark.read.option("header", True).csv(path)
     else:
         raw = spark.read.format(fmt).load(path)
-    return clean_bars(ohlcv_columns(raw, symbol))
+    if "seq" not in resolve_columns(raw.columns):
+        place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+        raw = raw.select("*", place.alias("seq"))
+    return clean_bars(ohlcv_columns(raw, symbol), daily=daily)
 
 
 def finite_or_null(df: DataFrame) -> DataFrame:

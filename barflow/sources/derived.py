@@ -93,7 +93,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("news_id"),
         F.when(F.col("doc_id") % 17 != 0, published).alias("published"),
         F.concat_ws(" ", words, F.substring("text", 1, 80)).alias("headline"),
-        F.substring("text", 81, 200).alias("summary"),
+        F.substring("text", 81, 2**31 - 1).alias("summary"),  # all the rest
         F.col("source").alias("publisher"),
         F.concat(F.lit("https://news.example/"), F.col("doc_id").cast("string")).alias("link"),
     )

@@ -11,18 +11,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barflow.operators.signals import SignalRules, decode, input_code, prepared
 
-STATE = T.StructType(
-    [T.StructField("state", T.IntegerType()), T.StructField("last_ts", T.StringType())]
-)
+STATE = T.StructType([T.StructField("state", T.IntegerType())])
 
 
 def stable_signal_stream(
     observations: DataFrame, rules: SignalRules = SignalRules(), scale: str = "unit"
 ) -> DataFrame:
-    """Confirmed signals of a stream, equal to the batch form.
+    """Confirmed signals of a stream.
 
-    Rows of a micro-batch are taken in the order of ts; rows that are not newer
-    than the symbol's last one are dropped.  State is two fields per symbol.
+    Every row is answered: those of a micro-batch in the order of ts (and seq,
+    where there is one), and rows that come late when they come, on the state
+    of that moment.  Without late rows the result equals the batch form.  State
+    is one number per symbol.
     """
     d = prepared(observations, rules, scale)
     d = d.select("*", input_code(d, rules).cast("int").alias("_code"))
@@ -32,19 +32,17 @@ def stable_signal_stream(
         + [T.StructField("state_before", T.IntegerType()), T.StructField("state_after", T.IntegerType())]
     )
     table = rules.table()
+    order = [c for c in ("ts", "seq") if c in columns]
 
     def advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        current, last = state.get if state.exists else (0, "")
-        newer = (rows["ts"].astype(str) > last) & ~rows["ts"].duplicated()
-        rows = rows[newer]
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        (current,) = state.get if state.exists else (0,)
         before, after = [], []
         for code in rows["_code"]:
             before.append(current)
             current = table[code][current]
             after.append(current)
-        if len(rows):
-            state.update((current, str(rows["ts"].iloc[-1])))
+        state.update((current,))
         yield rows[columns].assign(state_before=before, state_after=after)
 
     states = d.groupBy("symbol").applyInPandasWithState(

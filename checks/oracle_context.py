@@ -174,7 +174,7 @@ CTE["nw"] = f"""
 SELECT n_name AS symbol, doc_id AS news_id,
        CASE WHEN doc_id % 17 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL 1 MINUTE END AS published,
        concat_ws(' ', {pick(D.FIRST_WORDS, 'doc_id')}, {pick(D.SECOND_WORDS, 'doc_id')}, substring(text, 1, 80)) AS headline,
-       substring(text, 81, 200) AS summary, source AS publisher, 'https://news.example/' || doc_id AS link
+       substring(text, 81) AS summary, source AS publisher, 'https://news.example/' || doc_id AS link
 FROM documents JOIN nation ON doc_id % 25 = n_nationkey"""
 _weight = (
     f"CASE WHEN t IN ({words(lexicon.STRONG_POSITIVE)}) THEN 2.0 WHEN t IN ({words(lexicon.STRONG_NEGATIVE)}) THEN -2.0 "

@@ -93,8 +93,13 @@ def _numbers(df: DataFrame) -> DataFrame:
 
 def q_read_bars(spark, sf_dir):
     path = scratch_path(spark, "bars-csv")
-    D.bars(tune(spark), sf_dir).write.option("header", True).csv(path)
-    return tidy(B.read_bars(spark, path))
+    bars = D.bars(tune(spark), sf_dir)
+    # every bar twice: an outdated one in an earlier file, and one of the two written with a time of day
+    old = bars.withColumns({c: F.col(c) + 1 for c in B.VALUES}).withColumn("ts", F.col("ts").cast("string"))
+    late = F.concat(F.col("ts").cast("string"), F.lit(" 15:30:00"))
+    old.write.option("header", True).csv(f"{path}/a")
+    bars.withColumn("ts", late).write.option("header", True).csv(f"{path}/b")
+    return tidy(B.read_bars(spark, f"{path}/*", daily=True))
 
 
 def q_write_table(spark, sf_dir):
@@ -120,8 +125,8 @@ def source_queries() -> dict[str, Query]:
     return {
         "read_bars": q_read_bars,
         "ohlcv_columns": lambda s, d: tidy(_numbers(B.ohlcv_columns(raw_bars(s, d)))),
-        "clean_bars": lambda s, d: tidy(B.clean_bars(B.ohlcv_columns(raw_bars(s, d)))),
-        "clean_bars_strict": lambda s, d: tidy(B.clean_bars(B.ohlcv_columns(raw_bars(s, d)), strict=True)),
+        "clean_bars": lambda s, d: tidy(B.clean_bars(B.ohlcv_columns(raw_bars(s, d)), daily=True)),
+        "clean_bars_strict": lambda s, d: tidy(B.clean_bars(B.ohlcv_columns(raw_bars(s, d)), strict=True, daily=True)),
         "finite_or_null": q_finite_or_null,
         "history_slice": on_bars(lambda b: B.history_slice(b, "1y")),
         "last_rows": on_bars(lambda b: B.last_rows(b, 20)),
@@ -159,7 +164,7 @@ def plan_queries() -> dict[str, Query]:
     return {
         "latest_regime": on_bars(regime.latest_regime),
         "valid_time": lambda s, d: tidy(
-            B.clean_bars(B.ohlcv_columns(raw_bars(s, d))).select("symbol", "ts", "close")
+            B.clean_bars(B.ohlcv_columns(raw_bars(s, d)), daily=True).select("symbol", "ts", "close")
         ),
         "resample_weekly": on_bars(lambda b: timeframe.resample(b, "weekly")),
         "resample_monthly": on_bars(lambda b: timeframe.resample(b, "monthly")),
@@ -292,13 +297,14 @@ def q_weighted_vote(spark, sf_dir):
 def q_base_models(spark, sf_dir):
     rows = _training(spark, sf_dir)
     models = ensemble.fit_components(rows, MODEL_INPUTS, QUICK)
-    return tidy(ensemble.component_probabilities(rows, models, MODEL_INPUTS))
+    return tidy(ensemble.component_probabilities(_labelled(spark, sf_dir), models, MODEL_INPUTS))
 
 
 def q_median_impute(spark, sf_dir):
     rows = ensemble.with_missing_flags(_training(spark, sf_dir), MODEL_INPUTS)
     model = Pipeline(stages=ensemble.median_impute(MODEL_INPUTS)).fit(rows)
-    return tidy(model.transform(rows).select("symbol", "ts", *[f"{c}_filled" for c in MODEL_INPUTS]))
+    every = ensemble.with_missing_flags(_labelled(spark, sf_dir), MODEL_INPUTS)
+    return tidy(model.transform(every).select("symbol", "ts", *[f"{c}_filled" for c in MODEL_INPUTS]))
 
 
 def q_calibrate(spark, sf_dir):
@@ -313,8 +319,8 @@ def _fitted(spark, sf_dir):
 
 
 def q_predict_proba(spark, sf_dir):
-    rows, model = _fitted(spark, sf_dir)
-    return tidy(model.predict_proba(rows))
+    _, model = _fitted(spark, sf_dir)
+    return tidy(model.predict_proba(_labelled(spark, sf_dir)))
 
 
 def q_fit_final(spark, sf_dir):
@@ -486,8 +492,9 @@ STATE_COLUMNS = ["symbol", "ts", "signal", "pending_signal", "pending_count", "c
 def q_stable_signal_stream(spark, sf_dir):
     path = scratch_path(tune(spark), "observations")
     obs = _observations(spark, sf_dir)
-    obs.repartitionByRange(4, "ts").write.parquet(path)
-    source = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 100).parquet(path)
+    for k, years in enumerate(("year(ts) < 1997", "year(ts) = 1997", "year(ts) = 1998", "year(ts) > 1998")):
+        obs.where(years).coalesce(1).write.mode("append").parquet(f"{path}/part={k}")
+    source = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 1).parquet(path)
     out = scratch_path(spark, "signals")
     q = (
         stable_signal_stream(source).writeStream.format("parquet").option("path", out)

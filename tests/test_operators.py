@@ -164,10 +164,13 @@ def test_clean_bars(spark):
         rows, "Ticker string, `Date` string, ` Open` string, high_price string, LOW string, abc_close string, vol string, seq long"
     )
     named = B.ohlcv_columns(raw)
-    clean = {str(r["ts"]): (r["close"], r["volume"]) for r in B.clean_bars(named).collect()}
+    clean = {str(r["ts"]): (r["close"], r["volume"]) for r in B.clean_bars(named, daily=True).collect()}
     assert clean == {"2020-01-01": (1.7, 0.0), "2020-01-03": (float("inf"), 1.0)}
-    strict = {str(r["ts"]): (r["close"], r["volume"]) for r in B.clean_bars(named, strict=True).collect()}
+    strict = {str(r["ts"]): (r["close"], r["volume"]) for r in B.clean_bars(named, strict=True, daily=True).collect()}
     assert strict == {"2020-01-01": (1.5, 10.0)}
+    times = [("A", f"2020-01-01 09:{m}:00", "1", "2", "0.5", str(m), "1", k) for k, m in enumerate((15, 16, 16))]
+    timed = B.clean_bars(B.ohlcv_columns(spark.createDataFrame(times, raw.schema)))
+    assert sorted(str(r["ts"]) for r in timed.collect()) == ["2020-01-01 09:15:00", "2020-01-01 09:16:00"]
     with pytest.raises(ValueError, match="low, volume"):
         B.resolve_columns(["open", "high", "close"])
 
@@ -230,3 +233,53 @@ def test_empty_calibration_bins_are_kept(spark):
     d = spark.createDataFrame([(0.05, 0.0), (1.0, 1.0)], "probability double, actual double")
     t = reliability.calibration_table(d).toPandas()
     assert len(t) == 10 and t["count"].sum() == 2 and t["actual_rate"].isna().sum() == 8
+
+
+def test_read_bars_keeps_the_last_of_two_rows(spark, tmp_path):
+    head = "symbol,date,open,high,low,close,volume\n"
+    (tmp_path / "a.csv").write_text(head + "A,2024-01-02 09:15:00,1,2,1,1,5\nA,2024-01-02 09:16:00,1,2,1,1,5\nA,2024-01-02 09:15:00,1,2,1,3,5\n")
+    (tmp_path / "b.csv").write_text(head + "A,2024-01-02 09:16:00,1,2,1,7,5\n")
+    got = {str(r["ts"]): r["close"] for r in B.read_bars(spark, str(tmp_path)).collect()}
+    assert got == {"2024-01-02 09:15:00": 3.0, "2024-01-02 09:16:00": 7.0}
+
+
+def test_keys_that_clean_to_one_do_not_double_rows(spark):
+    from barflow.operators import sector
+
+    bars = spark.createDataFrame([("tcs.ns", 1.0)], "symbol string, close double")
+    mapping = spark.createDataFrame([("TCS", "A"), ("tcs", "B"), ("TCS.NS", "C")], "symbol string, sector string")
+    assert sector.sector_map(bars, mapping).count() == 1
+
+
+def test_fingerprint_of_many_rows_does_not_overflow(spark):
+    from pyspark.sql import functions as F
+
+    from barflow.operators import labels
+
+    many = spark.range(9_000_000).select(F.lit("A").alias("symbol"), "id")
+    assert labels.data_fingerprint(many, ["id"]).first()["rows"] == 9_000_000
+
+
+def test_components_score_in_one_pass(spark):
+    import warnings
+
+    from pyspark.sql import functions as F
+
+    from barflow.operators import ensemble
+
+    rows = spark.range(400).select(
+        F.lit("A").alias("symbol"), F.date_add(F.lit("2020-01-01"), F.col("id").cast("int")).alias("ts"),
+        F.sin("id").alias("x"), F.lit(None).cast("double").alias("empty"), (F.sin("id") > 0).cast("int").alias("target"),
+    )
+    quick = ensemble.EnsembleSettings(boosting_rounds=2, forest_trees=3)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        models = ensemble.fit_components(rows, ["x", "empty"], quick)
+    weights = spark.createDataFrame([(m, 0.2) for m in models], "model string, weight double")
+    fitted = ensemble.Ensemble(models, ["x", "empty"], weights, ensemble.Calibrator(), rows)
+    got = fitted.predict_proba(rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(models) == 5 and "Exchange" not in plan and plan.count("Range") == 1
+    parts = ensemble.component_probabilities(rows, models, ["x", "empty"])
+    want = {r["ts"]: r["p_up"] for r in ensemble.weighted_vote(parts, weights).collect()}
+    assert all(abs(want[r["ts"]] - r["p_up"]) < 1e-12 for r in got.collect())
