@@ -20,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in a bucket of a source follow one another; the buckets' totals give each its place in the source.
 BUCKETS = 1024
 CHUNK = 4096
+#: Slots that one task makes.
+PART_SLOTS = 100_000
 
 
 @dataclass
@@ -73,20 +75,22 @@ def plan_mix(
     targets = source_targets(sizes, weights, budget, most)
     blocks = F.ceil(F.col("source_size") / block).cast("long")
     slots = F.when(F.col("source_size") > 0, F.round(F.col("target") * blocks / F.col("source_size"))).otherwise(0).cast("long")
-    order = Window.orderBy(F.col("source").asc_nulls_last())
     sources = targets.select("skey", "source_size", "target", blocks.alias("blocks"), slots.alias("slots"))
     first = F.coalesce(F.sum("slots").over(Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sources = written(sources.select("*", first.alias("first_slot"), F.sum("slots").over(Window.partitionBy()).alias("all_slots")), "mix-sources")
 
     # the draw: slot j of a source goes to the place permuted(first_slot + j) of the urn; long sources in chunks
     chunks = sources.where("slots > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(CHUNK).cast("long"))).alias("chunk"))
-    chunks = chunks.repartition(F.col("skey"), F.col("chunk"))
+    # a few rows become very many slots: deal them out by the number of slots, not by their size before
+    parts = 1 + min(20_000, (sources.agg(F.max("all_slots").alias("n")).first().n or 0) // PART_SLOTS)
+    chunks = chunks.repartition(parts, F.col("skey"), F.col("chunk"))
     drawn = chunks.select("skey", "all_slots", "first_slot", F.explode(F.sequence("chunk", F.least(F.col("chunk") + CHUNK, "slots") - 1)).alias("j"))
     shard = F.floor(permuted(F.col("first_slot") + F.col("j"), F.col("all_slots"), seed) / shard_slots)
     counts = drawn.select("skey", shard.alias("shard")).groupBy("skey", "shard").agg(F.count("*").alias("n"))
     through = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("skey", "shard", "n", F.coalesce(F.sum("n").over(through), F.lit(0)).alias("from"))
-    filled = counts.join(sources.select("skey", "blocks"), "skey").select("skey", "shard", "blocks", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("j"))
+    counts = counts.join(sources.select("skey", "blocks"), "skey").repartition(parts, F.col("skey"), F.col("shard"))
+    filled = counts.select("skey", "shard", "blocks", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("j"))
     turn = F.floor(F.col("j") / F.col("blocks"))
     index = permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.col("skey"), turn, seed + 1)
     uses = filled.select("shard", F.col("j").alias("slot"), "skey", index.alias("block"))
