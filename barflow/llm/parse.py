@@ -252,9 +252,9 @@ def drop_repeats(docs: DataFrame, width: int = 100, gram: int = 32, keep: tuple[
         rows = rows.withColumn("sub", F.lit(0))
     rows = rows.withColumnRenamed("doc_id", "_id").withColumn("doc_id", F.coalesce(F.col("_id").cast("long"), F.lit(-(2**63))))
     runs = repeated_runs(rows.select("doc_id", "sub", "text"), width, gram)
-    release(docs.sparkSession)
     runs = runs.withColumn("sub", F.shiftright("pos", SHIFT).cast("int")).withColumn("pos", F.col("pos") - F.shiftleft(F.col("sub").cast("long"), SHIFT))
-    runs = runs.groupBy("doc_id", "sub").agg(F.collect_list("pos").alias("places"), F.collect_list("n").alias("counts"))
+    runs = written(runs.groupBy("doc_id", "sub").agg(F.collect_list("pos").alias("places"), F.collect_list("n").alias("counts")), "runs")
+    release(docs.sparkSession)
     carried = ["_id", *keep]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
