@@ -134,7 +134,7 @@ def test_training_raises_the_likelihood(make):
 def test_registered_queries_cover_their_tables(spark):
     import duckdb
 
-    count = lambda t: duckdb.sql(f"select count(*) from '{SF}/{t}.parquet'").fetchone()[0]
+    count = lambda t: duckdb.sql(f"select count(*) from '{SF}/{t}.parquet'").fetchall()[0][0]
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
     for name in ("op1_token_counts", "op3_page_text", "op9_decontamination"):
         assert queries.QUERIES[name](spark, SF).count() == count("pages" if name == "op3_page_text" else "documents")
