@@ -11,11 +11,13 @@ from pyspark.sql import SparkSession
 def scratch_path(spark: SparkSession, name: str) -> str:
     """New path under the cluster's shared checkpoint folder.
 
-    Only where the session names no such folder (tests on one machine) a
-    temporary one is taken.
+    Only where a local session names no such folder (tests on one machine) a
+    temporary one is taken; a cluster without the setting is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
