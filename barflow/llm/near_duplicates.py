@@ -192,15 +192,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, index: I
     sets = chosen.mapInArrow(full, "id long, set binary").dropDuplicates(["id"])
     sets = written(sets, "sets")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        return written(confirmed(close_pairs(pairs.distinct(), members, index, percent), sets, percent), "links")
-
     ordered = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     # every member of a key with its pivot: the member that meets most others, over all its keys
     central = keyed.groupBy("id").agg(F.sum("c").alias("central"))
     pivot = keyed.join(central, "id").groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("first"))).alias("p"))
     star = keyed.join(pivot.select("key", (-F.col("p.first")).alias("pivot")), "key").where("id != pivot")
-    edges = links(star.select(*ordered("id", "pivot")))
+    star = close_pairs(star.select(*ordered("id", "pivot")).distinct(), members, index, percent)
+    edges = written(confirmed(star, sets, percent), "links")
     labels = written(components(edges), "labels")
 
     # keys that still hold several components: the pairs of their members that can be links
@@ -213,7 +211,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, index: I
     overlap = F.least("common", "common_") * (100 + percent) >= percent * (F.col("n") + F.col("n_"))
     possible = (F.col("label") < F.col("label_")) & overlap & first & can_link(index, percent, "n", "n_", "sig", "sig_")
     pairs = left.join(right, "key").where(possible)
-    more = links(pairs.select(*ordered("id", "id_")))
+    more = written(confirmed(pairs.select(*ordered("id", "id_")), sets, percent), "links")
     labels = components(more.union(labels.where("id != label").select(F.col("id").alias("u"), F.col("label").alias("v"))))
 
     by_class = members.join(labels, "id", "left").select("n", "h1", "h2", F.coalesce("label", "id").alias("class"))
