@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import release, slices, text_or_empty, utf8, written
+from .shared import discard, release, slices, text_or_empty, utf8, written
 from .words import BYTES, mixed
 
 POWER = np.uint64(0x9E3779B97F4A7C15)
@@ -162,10 +162,11 @@ def _cut(kind, home, u, *rest) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in columns], FIELDS)
 
 
-def repeated_runs(docs: DataFrame, width: int, gram: int) -> DataFrame:
+def repeated_runs(docs: DataFrame, width: int, gram: int, paths: list[str]) -> DataFrame:
     """(doc_id, pos, n): runs of n window starts, from place pos on, whose windows also start earlier in the corpus.
 
     `docs` has doc_id and sub (distinct together, not null) and text (not null); earlier is by doc_id, sub, offset.
+    The paths of its intermediate tables are added to `paths`.
     """
     order = Window.partitionBy("home").orderBy("u", "doc_id", "pos")
     group = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -173,16 +174,16 @@ def repeated_runs(docs: DataFrame, width: int, gram: int) -> DataFrame:
     unclear = (F.first("u").over(group) != F.last("u").over(group)) | (F.max(F.col("kind") % 4).over(group) == AMBIGUOUS)
     found = parse(docs, width, gram).withColumn("again", again).withColumn("unclear", unclear)
     off = F.floor(F.col("kind") / 4).cast("long").alias("off")
-    found = written(found.where("again or unclear").select("again", "n", off, "doc_id", "pos"), "phrases")
+    found = written(found.where("again or unclear").select("again", "n", off, "doc_id", "pos"), "phrases", paths)
 
     # dictionary entries that share a trigger, in two sides: windows with at least `half` bytes before the trigger, and others
     entries = found.where("not again").withColumn("sub", F.shiftright("pos", SHIFT).cast("int"))
     entries = entries.groupBy("doc_id", "sub").agg(*(F.collect_list(c).alias(c) for c in ("pos", "n", "off")))
     sides = docs.join(entries, ["doc_id", "sub"]).select("doc_id", "sub", "text", "pos", "n", "off")
-    sides = written(sides.mapInArrow(entry_sides(width, gram), "key long, doc_id long, pos long, bytes binary"), "sides")
+    sides = written(sides.mapInArrow(entry_sides(width, gram), "key long, doc_id long, pos long, bytes binary"), "sides", paths)
     release(docs.sparkSession)
     shared = sides.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    each = written(sides.join(shared, "key").select("doc_id", "pos", "bytes").mapInArrow(windows_of(width), "h long, doc_id long, pos long"), "windows")
+    each = written(sides.join(shared, "key").select("doc_id", "pos", "bytes").mapInArrow(windows_of(width), "h long, doc_id long, pos long"), "windows", paths)
     first = each.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("c")).where("c > 1").select("h", "first")
     later = each.join(first, "h").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
     return found.where("again").select("doc_id", "pos", "n").union(later.select("doc_id", "pos", F.lit(1).cast("long").alias("n")))
@@ -251,9 +252,11 @@ def drop_repeats(docs: DataFrame, width: int = 100, gram: int = 32, keep: tuple[
     else:
         rows = rows.withColumn("sub", F.lit(0))
     rows = rows.withColumnRenamed("doc_id", "_id").withColumn("doc_id", F.coalesce(F.col("_id").cast("long"), F.lit(-(2**63))))
-    runs = repeated_runs(rows.select("doc_id", "sub", "text"), width, gram)
+    paths: list[str] = []
+    runs = repeated_runs(rows.select("doc_id", "sub", "text"), width, gram, paths)
     runs = runs.withColumn("sub", F.shiftright("pos", SHIFT).cast("int")).withColumn("pos", F.col("pos") - F.shiftleft(F.col("sub").cast("long"), SHIFT))
     runs = written(runs.groupBy("doc_id", "sub").agg(F.collect_list("pos").alias("places"), F.collect_list("n").alias("counts")), "runs")
+    discard(docs.sparkSession, paths)
     release(docs.sparkSession)
     carried = ["_id", *keep]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
