@@ -27,8 +27,8 @@ from .shared import discard, release, slices, text_or_empty, utf8, written
 from .words import BYTES, mixed
 
 POWER = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes parsed at once; a longer text is parsed in parts that overlap by a window less one byte.
-PART = 1_500_000
+#: Bytes parsed at once (few enough for the processor's cache); a longer text is parsed in parts that overlap by a window less one byte.
+PART = 150_000
 #: A place is (number among the rows of one repeated id) << SHIFT | byte offset.
 SHIFT = 40
 
