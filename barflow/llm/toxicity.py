@@ -6,7 +6,8 @@ labels alone, then point out the offending sentences. The leak is the rate of la
 long clean documents would gather chance from their many sentences.
 
 Training: iterative parameter mixing. Each round is a Spark job in which every task starts from the broadcast weights, makes
-some passes of AdaGrad over its share, and returns its weights; their mean starts the next round.
+some passes of AdaGrad over its share, and returns its weights; their mean, by the documents of a share that hold the word,
+starts the next round.
 """
 
 from __future__ import annotations
@@ -122,6 +123,7 @@ def fit_toxicity(
     min_docs: int = 5,
     min_share: float = 0.01,
     max_words: int = 20_000,
+    chance: float = 0.01,
     rounds: int = 4,
     passes: int = 3,
     rate: float = 0.5,
@@ -132,9 +134,11 @@ def fit_toxicity(
 ) -> ToxicModel:
     """Learn from at most `max_docs` labelled rows of (doc_id, text) and (doc_id, label), chosen by a hash of the id.
 
-    Only words of at least `min_docs` documents and the share `min_share` of the sample get a weight, so that no noisy label is
-    learned by heart. Rows with a null id, label or unlabelled rows teach nothing;
-    without any labelled row the model has no weights.
+    A weight goes to words of the share `min_share` of the sample, and to rarer ones of at least `min_docs` toxic documents that
+    are toxic beyond label noise: by Chernoff's bound, with a chance of at most `chance` for any of the words tested. Support is
+    counted in different texts, so that no copied document is learned by heart. If there are more than `max_words`, the clearest
+    of the rare words come first, then the commonest. Rows with a null id, label or unlabelled rows teach nothing; without any
+    labelled row the model has no weights.
     """
     spark = docs.sparkSession
     chosen = (
@@ -143,9 +147,13 @@ def fit_toxicity(
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     )
     sample = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = written(sample.select("y", "text").repartition(shares, F.xxhash64("doc_id")), "toxic-sample")
+    sample = sample.select("y", "text", F.xxhash64("text").alias("h")).repartition(shares, F.xxhash64("doc_id"))
+    sample = written(sample.withColumn("k", F.monotonically_increasing_id()), "toxic-sample")
+    firsts = sample.groupBy("h", "y").agg(F.min("k").alias("k"))
+    different = sample.join(F.broadcast(firsts.select("k")), "k", "left_semi").select("y", "text")
 
-    sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.y: r.n for r in firsts.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    base = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
     least = max(min_docs, min_share * sum(sizes.values()))
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,16 +165,26 @@ def fit_toxicity(
             columns = [pa.array(list(seen), pa.string()), *(pa.array([n[k] for n in seen.values()], pa.int64()) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays(columns, ["word", "clean", "toxic"])
 
-    words = sample.mapInArrow(vocabulary, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    words = words.withColumn("n", F.col("clean") + F.col("toxic")).where(F.col("n") >= least)
-    found = words.orderBy(F.desc("n"), "word").limit(max_words).collect()
+    words = written(
+        different.mapInArrow(vocabulary, "word string, clean long, toxic long")
+        .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        .withColumn("n", F.col("clean") + F.col("toxic")).where((F.col("n") >= least) | (F.col("toxic") >= min_docs)),
+        "toxic-words",
+    )
+    tested = words.where(F.col("toxic") >= min_docs).count()
+    share = F.col("toxic") / F.col("n")
+    # n times the divergence of the word's toxic share from that of all texts
+    against = F.col("toxic") * F.log(share / base) + F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    words = words.withColumn("rare", F.when(F.col("n") < least, F.when(share > base, against).otherwise(0.0)))
+    words = words.where(F.col("rare").isNull() | (F.col("rare") >= float(np.log(max(tested, 1) / chance))))
+    found = words.orderBy(F.desc_nulls_last("rare"), F.desc("n"), "word").limit(max_words).collect()
     names = [r.word for r in found]
     index = {w: i for i, w in enumerate(names)}
     shared_index = spark.sparkContext.broadcast(index)
     weights = np.zeros(len(names) + 2)
-    # start at the log-odds of a word between documents of either label, less `margin`
+    # start at the log-odds of a word between documents of either label, less `margin` where no test has ruled noise out
     odds = np.array([np.log((r.toxic + 0.5) / (sizes.get(1, 0) + 1)) - np.log((r.clean + 0.5) / (sizes.get(0, 0) + 1)) for r in found])
-    weights[: len(names)] = np.sign(odds) * np.maximum(np.abs(odds) - margin, 0)
+    weights[: len(names)] = np.sign(odds) * np.maximum(np.abs(odds) - np.array([margin if r.rare is None else 0.0 for r in found]), 0)
     weights[-2:] = ToxicModel.bias, ToxicModel.leak
     for k in range(rounds):
         start = spark.sparkContext.broadcast(weights)
@@ -178,12 +196,16 @@ def fit_toxicity(
                 y += batch.column("y").to_pylist()
             if bags:
                 got = _passes(bags, y, start.value, passes, rate / (1 + k), decay, seed=k)
-                yield pa.RecordBatch.from_arrays([pa.array([len(bags)], pa.int64()), pa.array([got.tolist()], pa.list_(pa.float64()))], ["n", "w"])
+                seen = np.full(len(got), len(bags), np.int64)
+                seen[:-2] = np.bincount(np.concatenate([np.unique(words) for words, _, _ in bags]), minlength=len(got) - 2)
+                yield pa.RecordBatch.from_arrays([pa.array([seen.tolist()], pa.list_(pa.int64())), pa.array([got.tolist()], pa.list_(pa.float64()))], ["n", "w"])
 
-        parts = sample.mapInArrow(improve, "n long, w array<double>").collect()
+        parts = sample.select("y", "text").mapInArrow(improve, "n array<long>, w array<double>").collect()
         if not parts:
             break
-        weights = np.average([r.w for r in parts], axis=0, weights=[r.n for r in parts])
+        # a share without a word says nothing of its weight: else those of rare words would stay near their start
+        seen = np.array([r.n for r in parts], float)
+        weights = np.where(seen.sum(0) > 0, (seen * [r.w for r in parts]).sum(0) / np.maximum(seen.sum(0), 1), weights)
     return ToxicModel({w: float(x) for w, x in zip(names, weights) if abs(x) > 0.02}, float(weights[-2]), float(weights[-1]))
 
 

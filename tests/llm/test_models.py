@@ -57,6 +57,23 @@ def test_toxicity_finds_documents_and_sentences(make, odd, labelled):
     assert none.weights == {} and score_toxicity(make(odd).limit(0), none).count() == 0
 
 
+def test_toxicity_learns_words_in_few_documents(spark):
+    random.seed(13)
+    names, slurs = [f"{a}{b}" for a in "bcdfgklmnprst" for b in ("a", "eno", "ilu", "or")], [f"slur{c}" for c in "abcdef"]
+    rows, labels = [], []
+    for i in range(3000):  # each slur in nine labelled rows, 0.3 %; ten clean rows with a wrong label; thirty copies of one text
+        text = [random.choice(names) for _ in range(random.choice((20, 80)))]
+        if slur := i < 54:
+            text[random.randrange(len(text))] = slurs[i % 6]
+        rows.append((i, "unique words of a copy" if i >= 2970 else " ".join(text[:10]) + ". " + " ".join(text[10:])))
+        labels.append((i, int(slur or i % 290 == 60 or i >= 2970)))
+    model = fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(slurs) <= set(model.weights) and min(model.weights[w] for w in slurs) > 2 and "unique" not in model.weights
+    held = [(k, f"{' '.join(random.choices(names, k=30))}. {w} {' '.join(random.choices(names, k=9))}") for k, w in enumerate(slurs + ["plain"] * 30)]
+    got = {r.doc_id: r.predicted for r in score_toxicity(spark.createDataFrame(held, "doc_id long, text string"), model).collect()}
+    assert [got[k] for k in range(36)] == [1] * 6 + [0] * 30
+
+
 def test_sentences_cover_all_words():
     text = "One two. Three\nfour! " + "w " * 200
     found = [w for _, _, words in sentences(text) for w in words]
