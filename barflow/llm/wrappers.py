@@ -3,16 +3,19 @@
 Pages of a host are filled-in templates. From some pages of a host a wrapper is inferred: the token stream of one page is the
 first wrapper, and every further page is aligned to it. Where texts differ a slot comes in; where tags differ, first a repeated
 group is looked for (the mismatch starts another copy of what ended just before), then an optional one (the mismatch token
-occurs further on, on one side). The wrapper's slots that lie in the page's article are its main text; every page is then
-matched with its host's wrapper. A page that does not match is aligned to its own markup by the same rules for slots.
+occurs further on, on one side). Every page is then matched with its host's wrapper: what is constant over the host's pages is
+template, slots are content. Of the content, the page's own open elements set the asides and, if there is one, the article
+apart. In repeated groups, and on a page that does not match, a text is template if it is on most of the host's pages.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -95,17 +98,17 @@ def flat(nodes: list) -> Iterator[list]:
             yield n
 
 
-def square(nodes: list, i: int, last: str, most: int = 60) -> int:
+def square(nodes: list, i: int, last: str) -> int:
     """End of the copy of a group that starts at i and ends with the tag `last`; 0 if there is none."""
-    for k in range(i, min(i + most, len(nodes))):
+    for k in range(i, len(nodes)):
         if nodes[k][0] == last:
             return k + 1
     return 0
 
 
-def before(nodes: list, start: str, most: int = 60) -> int:
+def before(nodes: list, start: str) -> int:
     """Begin of the copy of a group that ends at the end of the nodes; -1 if there is none."""
-    for k in range(len(nodes) - 1, max(-1, len(nodes) - 1 - most), -1):
+    for k in range(len(nodes) - 1, -1, -1):
         if nodes[k][0] == start:
             return k
     return -1
@@ -188,6 +191,17 @@ def infer(pages: list[str]) -> list:
     return wrapper
 
 
+def key(text: str) -> str:
+    return hashlib.blake2b(SPACE.sub(" ", text).strip().encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def constants(pages: list[str], least: int = 4) -> set[str]:
+    """Keys of the texts on more than half of the different pages, and on `least`: fewer pages do not tell template from copies."""
+    pages = sorted({p for p in pages if p.strip()})
+    on = Counter(k for p in pages for k in {key(v) for kind, v in tokens(p) if kind == TEXT and not v.isspace()})
+    return {k for k, n in on.items() if n >= least and 2 * n > len(pages)}
+
+
 # --- extraction
 
 
@@ -218,32 +232,39 @@ class Place:
         return 0 if any(aside for _, aside in self.open) else 1
 
 
-def roles(wrapper: list, place: Place | None = None) -> list:
-    """The wrapper with slots and texts as [SLOT, role]; optional and repeated groups start in the place they stand in."""
-    place = place or Place()
-    out = []
+CONTENT, TEMPLATE, ASK = 0, 1, 2
+
+
+def roles(wrapper: list, known: set[str] | None = None, repeated: bool = False) -> list:
+    """The wrapper with each run of slots and texts as [SLOT, keys of its constant texts, what other texts are].
+
+    Only texts in `known` count as constant, all without it. In a repeated group other texts are to be asked for in `known`.
+    """
+    out: list = []
     for n in wrapper:
         if n[0] in (OPTIONAL, REPEAT):
-            out.append([n[0], roles(n[1], place)])
+            out.append([n[0], roles(n[1], known, repeated or n[0] == REPEAT)])
         elif n[0] in (TEXT, SLOT):
-            out.append([SLOT, place.role()])
+            if not out or out[-1][0] != SLOT:
+                out.append([SLOT, [], ASK if repeated else CONTENT])
+            if n[0] == TEXT and (known is None or key(n[1]) in known):
+                out[-1][1].append(key(n[1]))
         else:
-            place.tag(n[0])
             out.append(n)
     return out
 
 
 def matched(nodes: list, page: list[tuple[str, str]], j: int, found: list[int]) -> int:
-    """Match the nodes from page[j] on; roles of the texts go to found. Where it ends, or -1."""
+    """Match the nodes from page[j] on; CONTENT, TEMPLATE or ASK of the texts go to found. Where it ends, or -1."""
     for n in nodes:
         kind = n[0]
         if kind == SLOT:
             while j < len(page) and page[j][0] == TEXT:
-                found.append(n[1])
+                found.append(TEMPLATE if n[1] and key(page[j][1]) in n[1] else n[2])
                 j += 1
             continue
         while j < len(page) and page[j][0] == TEXT and page[j][1].isspace():
-            found.append(0)
+            found.append(CONTENT)
             j += 1
         if kind == OPTIONAL:
             mark, size = j, len(found)
@@ -278,13 +299,21 @@ def by_markup(page: list[tuple[str, str]]) -> list[int]:
     return found
 
 
-def main_text(page: str, wrapper: list | None) -> str:
-    """Blocks of the article joined by line breaks; without an article those of all that is not set aside."""
+def main_text(page: str, wrapper: list | None, known: Collection[str] = ()) -> str:
+    """Blocks of the article joined by line breaks; without an article those of all that is not set aside.
+
+    Texts of the template are left out, unless the article has no other.
+    """
     stream = tokens(page)
     found: list[int] = []
     if wrapper is None or matched(wrapper, stream, 0, found) != len(stream):
-        found = by_markup(stream)
-    wanted = 2 if 2 in found else 1
+        found = [ASK] * sum(kind == TEXT for kind, _ in stream)
+    marks, texts = by_markup(stream), [v for kind, v in stream if kind == TEXT]
+    wanted = 2 if 2 in marks else 1
+    own = [m if m != wanted or f == CONTENT or (f == ASK and key(t) not in known) else 0 for m, f, t in zip(marks, found, texts)]
+    if any(m == wanted and not t.isspace() for m, t in zip(own, texts)):
+        marks = own
+    found = marks
     blocks, now, k = [], [], 0
     for kind, value in stream:
         if kind == TEXT:
@@ -309,15 +338,21 @@ def host_wrappers(pages: DataFrame, sample: int) -> DataFrame:
     order = Window.partitionBy("host").orderBy(F.xxhash64("page_id", "url"), "page_id")
     chosen = pages.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("host", "k", "html")
 
-    def build(key, group):
+    def build(host, group):
         import pandas as pd
 
-        found = infer(list(group.sort_values("k").html))
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(roles(found))]})
+        own = [p for p in group.sort_values("k").html if p.strip()]
+        known = constants(own)
+        return pd.DataFrame({"host": [host[0]], "wrapper": [json.dumps([roles(infer(own), known), sorted(known)])]})
 
     return chosen.groupBy("host").applyInPandas(build, "host string, wrapper string")
 
 
+def decoded(coded: str) -> tuple[list, frozenset[str]]:
+    nodes, known = json.loads(coded)
+    return nodes, frozenset(known)
+
+
 def extract_pages(pages: DataFrame, sample: int = 8) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of (page_id, url, html).
 
@@ -330,9 +365,9 @@ def extract_pages(pages: DataFrame, sample: int = 8) -> DataFrame:
     rows = pages.select("page_id", "url", host.alias("host"), text_or_empty("html").alias("html"))
     wrappers = written(host_wrappers(rows.where("host != ''"), sample), "wrappers")
     size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0)).alias("b")).first().b
-    known = None
+    known, none = None, (None, ())
     if size <= WRAPPER_BYTES:
-        known = spark.sparkContext.broadcast({r.host: json.loads(r.wrapper) for r in wrappers.collect()})
+        known = spark.sparkContext.broadcast({r.host: decoded(r.wrapper) for r in wrappers.collect()})
         rows = rows.withColumn("wrapper", F.lit(None).cast("string"))
     else:
         salts = 256
@@ -341,20 +376,20 @@ def extract_pages(pages: DataFrame, sample: int = 8) -> DataFrame:
     kind = dict(pages.dtypes)["page_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, list | None] = {}
+        own: dict[str, tuple] = {}
         for batch in slices(batches, "html"):
             hosts, coded = batch.column("host").to_pylist(), batch.column("wrapper").to_pylist()
             texts = []
             for h, c, page in zip(hosts, coded, batch.column("html").to_pylist()):
                 if known is not None:
-                    w = known.value.get(h)
+                    w = known.value.get(h, none)
                 elif h in own:
                     w = own[h]
                 else:
                     if len(own) > 1000:
                         own.clear()
-                    w = own[h] = json.loads(c) if c else None
-                texts.append(main_text(page, w))
+                    w = own[h] = decoded(c) if c else none
+                texts.append(main_text(page, *w))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     text = rows.select("page_id", "url", "host", "wrapper", "html").mapInArrow(run, f"page_id {kind}, url string, text string")

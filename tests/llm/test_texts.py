@@ -80,6 +80,21 @@ def test_pages_with_odd_rows(spark):
     assert extract_pages(pages).count() == len(rows) and extract_pages(pages.limit(0)).count() == 0
 
 
+def test_constant_texts_without_a_name_are_template(spark):
+    def plain(n):
+        return f"<html><body><div id='x1'>The Site</div><table><tr><td>Home<td>News</table><div id='x2'><h2>Title {n}</h2>{''.join(f'<p>line {n} {k}</p>' for k in range(n % 4 + 1))}<p>All rights</p></div></body></html>"
+
+    host, two = "http://c.example/", "http://two.example/"
+    rows = [(k, host, plain(k)) for k in range(20)] + [(30, host, plain(1).replace("<table>", "<ul><li>more</ul><table>")), (40, two, plain(1)), (41, two, plain(1))]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in range(20):
+        assert got[n] == "\n".join([f"Title {n}", *(f"line {n} {k}" for k in range(n % 4 + 1))])
+    assert got[30] == "more\nTitle 1\nline 1 0\nline 1 1"
+    assert got[40] == got[41] == "The Site\nHome\nNews\nTitle 1\nline 1 0\nline 1 1\nAll rights"  # one text only: nothing tells its template
+    same = roles(infer([plain(1), plain(1)]))
+    assert main_text(plain(1), same) == got[40]
+
+
 def distance_in(p, t):
     row = [0] * (len(t) + 1)
     for i, c in enumerate(p, 1):
