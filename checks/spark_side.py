@@ -301,10 +301,13 @@ def q_base_models(spark, sf_dir):
 
 
 def q_median_impute(spark, sf_dir):
-    rows = ensemble.with_missing_flags(_training(spark, sf_dir), MODEL_INPUTS)
-    model = Pipeline(stages=ensemble.median_impute(MODEL_INPUTS)).fit(rows)
-    every = ensemble.with_missing_flags(_labelled(spark, sf_dir), MODEL_INPUTS)
-    return tidy(model.transform(every).select("symbol", "ts", *[f"{c}_filled" for c in MODEL_INPUTS]))
+    d = add_features(D.bars(tune(spark), sf_dir))
+    names = feature_columns(d)
+    every = labels.label_direction(d.select("symbol", "ts", "close", *names), D.HORIZON)
+    rows = ensemble.with_missing_flags(labels.training_rows(every, names), names)
+    model = Pipeline(stages=ensemble.median_impute(names)).fit(rows)
+    filled = model.transform(ensemble.with_missing_flags(every, names))
+    return tidy(filled.select("symbol", "ts", *[f"{c}_filled" for c in names]))
 
 
 def q_calibrate(spark, sf_dir):
