@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each applies its operator to the whole of its table."""
+"""The queries op1 to op13: each applies its operator to the whole of its table."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import find_benchmark
+from .filter_audit import audit, mask_cells
 from .fingerprints import fingerprints
 from .hmm import language_scores
 from .mixing import mix_documents
@@ -78,10 +79,14 @@ def op8_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(mask_cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_toxicity, op3_page_text, op4_mix_sources, op5_fingerprints, op6_quality, op7_near_duplicates, op8_language_scores,
-        op9_decontamination, op10_repeated_passages,
+        op9_decontamination, op10_repeated_passages, op13_filter_audit,
     )
 }
