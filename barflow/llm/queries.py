@@ -14,6 +14,7 @@ from .hmm import language_scores
 from .mixing import mix_documents
 from .near_duplicates import near_duplicates
 from .parse import drop_repeats
+from .periodic import periodic_runs
 from .quality import fit_quality, score_quality
 from .shared import remainder
 from .token_count import token_counts
@@ -79,6 +80,34 @@ def op8_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with a tail that repeats itself in a tenth of the documents, those whose crc32 of the id ends in 0."""
+    h = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8"))
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    chosen = (h % 10 == 0) & (F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) > 0)
+    d = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(chosen, words).alias("words"))
+    d = d.select("*", F.size("words").cast("long").alias("n"))
+    a = F.when(F.col("words").isNotNull(), F.col("g") % F.col("n"))
+    d = d.select("*", a.alias("a")).select("*", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).alias("p"))
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    moved = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("words", source(i).cast("int")))
+    return d.select("doc_id", F.when(F.col("words").isNotNull(), F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    best = F.aggregate(
+        "runs", F.lit(None).cast("struct<start: long, length: long, period: long>"),
+        lambda b, r: F.when(b.isNull() | (r["length"] > b["length"]), r).otherwise(b),
+    )  # the runs come by start and period, so the first of the longest stays
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    d = found.select("*", best.alias("best"))
+    return d.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(mask_cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
@@ -87,6 +116,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_toxicity, op3_page_text, op4_mix_sources, op5_fingerprints, op6_quality, op7_near_duplicates, op8_language_scores,
-        op9_decontamination, op10_repeated_passages, op13_filter_audit,
+        op9_decontamination, op10_repeated_passages, op12_periodic_runs, op13_filter_audit,
     )
 }
