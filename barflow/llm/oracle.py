@@ -47,4 +47,20 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 FROM steps_of
 """
 
-ORACLES: dict[str, str] = {"op13_filter_audit": OP13}
+OP11 = """
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS hex FROM pages
+), grouped AS (
+    SELECT page_id, strlen(p) AS payload_bytes, hex, min(page_id) OVER (PARTITION BY p) AS first_id FROM payloads
+), places AS (
+    SELECT hex, k, CAST('0x' || substr(hex, 5 * (k // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4)) & 31 AS five
+    FROM (SELECT DISTINCT hex, unnest(range(0, 32)) AS k FROM grouped)
+), spelled AS (
+    SELECT hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(five + 1 AS INTEGER), 1), '' ORDER BY k) AS payload_digest FROM places GROUP BY hex
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id != first_id THEN first_id END AS refers_to
+FROM grouped JOIN spelled USING (hex)
+"""
+
+ORACLES: dict[str, str] = {"op11_warc": OP11, "op13_filter_audit": OP13}

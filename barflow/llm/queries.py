@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,10 @@ from .near_duplicates import near_duplicates
 from .parse import drop_repeats
 from .periodic import periodic_runs
 from .quality import fit_quality, score_quality
-from .shared import remainder
+from .shared import remainder, shared_folder
 from .token_count import token_counts
 from .toxicity import fit_toxicity, score_toxicity
+from .warc import read_archive, resolved, write_archive
 from .wrappers import extract_pages
 
 
@@ -80,6 +82,19 @@ def op8_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_archive(pages, path)
+    found = resolved(read_archive(spark, path))
+    sound = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("archive: "), "problem"))).otherwise(F.col("record_type"))
+    id_type = pages.schema["page_id"].dataType
+    return found.select(
+        F.col("page").cast(id_type).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), sound.alias("record_type"),
+        F.col("refers_page").cast(id_type).alias("refers_to"),
+    )
+
+
 def planted_periods(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with a tail that repeats itself in a tenth of the documents, those whose crc32 of the id ends in 0."""
     h = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8"))
@@ -116,6 +131,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_toxicity, op3_page_text, op4_mix_sources, op5_fingerprints, op6_quality, op7_near_duplicates, op8_language_scores,
-        op9_decontamination, op10_repeated_passages, op12_periodic_runs, op13_filter_audit,
+        op9_decontamination, op10_repeated_passages, op11_warc, op12_periodic_runs, op13_filter_audit,
     )
 }
