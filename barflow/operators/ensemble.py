@@ -1,24 +1,27 @@
 """Model ensemble on the pooled panel: folds, votes, weights, calibration.
 
-Models are Spark ML estimators fitted on the rows of all symbols together.
-Extremely randomised trees and histogram boosting have no Spark twin; a forest
+Models are Spark ML estimators and a ridge logistic regression, fitted on the rows of all symbols together; all fits read one
+written matrix (``operators/training.py``).  Extremely randomised trees and histogram boosting have no Spark twin; a forest
 without bootstrap and a deeper boosted model stand in for them.
 """
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barflow.functions.nulls import clip
-from barflow.operators.labels import FOLDS, time_folds
+from barflow.operators.labels import FOLDS
+from barflow.operators.training import Logistic, Matrix, Summary, filled, fit_logistic, single_matrix, summary, training_matrix, values
 from barflow.sources.scratch import cut_lineage
 
 # Component models and their base weights, fixed values.
@@ -41,14 +44,14 @@ class EnsembleSettings:
     forest_trees: int = 300
     learning_rate: float = 0.035
     inverse_penalty: float = 0.25
-    median_error: float = 0.001
     seed: int = 42
     folds: int = FOLDS
+    parallel: int = 6  # fits submitted to the cluster at once
     models: tuple[str, ...] = field(default_factory=lambda: tuple(MODELS))
 
 
-def base_models(s: EnsembleSettings, rows: int) -> dict:
-    """Unfitted estimators on ``features``, ``target`` and the class weight."""
+def base_models(s: EnsembleSettings) -> dict:
+    """Unfitted tree estimators on ``features``, ``target`` and the class weight; the linear one is fitted by Newton steps."""
     common = {"featuresCol": "features", "labelCol": "target"}
     forest = {**common, "numTrees": s.forest_trees, "featureSubsetStrategy": "sqrt", "seed": s.seed,
               "weightCol": "class_weight"}
@@ -60,94 +63,123 @@ def base_models(s: EnsembleSettings, rows: int) -> dict:
         "RandomForest": lambda: RandomForestClassifier(**forest, maxDepth=7, minInstancesPerNode=5),
         "ExtraTrees": lambda: RandomForestClassifier(**forest, maxDepth=8, minInstancesPerNode=4, bootstrap=False),
         "HistGradientBoosting": lambda: GBTClassifier(**boosted, maxDepth=4, minInstancesPerNode=12, maxBins=255),
-        "LogisticRegression": lambda: LogisticRegression(
-            **common, regParam=1.0 / (s.inverse_penalty * max(rows, 1)), standardization=False, maxIter=2000,
-            weightCol="class_weight",
-        ),
     }
-    return {name: every[name]() for name in s.models}
+    return {name: every[name]() for name in s.models if name in every}
 
 
-def median_impute(features: list[str], error: float = 0.001) -> list:
-    """Stages that fill medians, flag the filled values and assemble the vector.
+def median_impute(df: DataFrame, features: list[str], medians) -> DataFrame:
+    """Add ``<feature>_filled``: the value, or the training median where it is missing."""
+    d = df.select("*", filled(values(df, features), medians).alias("_filled"))
+    return d.select(*df.columns, *[F.col("_filled")[i].alias(f"{c}_filled") for i, c in enumerate(features)])
 
-    Medians come from a mergeable quantile sketch; with ``error=0`` it is exact
-    and as large as the training rows.
-    """
-    filled = [f"{c}_filled" for c in features]
-    return [
-        Imputer(strategy="median", relativeError=error, inputCols=features, outputCols=filled),
-        VectorAssembler(
-            inputCols=[*filled, *[f"{c}_missing" for c in features]], outputCol="features", handleInvalid="keep"
-        ),
-    ]
-
-
-def with_missing_flags(df: DataFrame, features: list[str]) -> DataFrame:
-    """Features as doubles (absent ones NULL) with a 0/1 flag where they are missing."""
-    have = set(df.columns)
-    values = {c: (F.col(c).cast("double") if c in have else F.lit(None).cast("double")) for c in features}
-    others = [c for c in df.columns if c not in values]
-    return df.select(
-        *others,
-        *[v.alias(c) for c, v in values.items()],
-        *[v.isNull().cast("double").alias(f"{c}_missing") for c, v in values.items()],
-    )
 
+@dataclass
+class Components:
+    """Fitted component models with the medians of their training rows; a mapping by name."""
+
+    features: list[str]
+    medians: list[float]
+    models: dict[str, object]
+
+    def __len__(self) -> int:
+        return len(self.models)
 
-def class_weights(train: DataFrame) -> DataFrame:
-    """Add balanced class weights; the class counts are two numbers."""
-    counts = {r["target"]: r["count"] for r in train.groupBy("target").count().collect()}
-    total = sum(counts.values())
-    weight = F
-    for target, n in sorted(counts.items()):
-        weight = weight.when(F.col("target") == target, total / (len(counts) * n))
-    return train.select("*", weight.otherwise(1.0).alias("class_weight")), total, len(counts)
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.models)
 
+    def __getitem__(self, name: str):
+        return self.models[name]
+
+    def columns(self, df: DataFrame, x: Column) -> DataFrame:
+        """Add ``p_<model>`` for every component by projections alone, from the array ``x`` of the features."""
+        keep = df.columns
+        d = df.select("*", filled(x, self.medians).alias("_filled"))
+        d = d.select("*", array_to_vector("_filled").alias("features"))
+        out = {}
+        for name, model in self.models.items():
+            if isinstance(model, Logistic):
+                out[name] = model.probability(F.col("_filled"))
+            else:
+                own = {model.probabilityCol: f"_v_{name}", model.rawPredictionCol: f"_r_{name}", model.predictionCol: f"_c_{name}"}
+                d = model.copy(own).transform(d)
+                out[name] = vector_to_array(f"_v_{name}")[1]
+        return d.select(*keep, *[clip(p, 0.0, 1.0).alias(f"p_{name}") for name, p in out.items()])
 
-def fit_components(train: DataFrame, features: list[str], s: EnsembleSettings) -> dict[str, PipelineModel]:
-    """Imputation and component models fitted on the given rows only.
 
-    A feature without any value in these rows counts as 0 here and so takes no
-    part.  A component whose fit fails is named in a warning and left out.
+def fit_sets(m: Matrix, s: EnsembleSettings, sets: list[int], known: Summary | None = None) -> dict[int, Components]:
+    """Components of the given training sets of one matrix, all fits submitted together.
+
+    Medians come from the set itself.  A feature without any value in it counts as 0 there and so takes no part.  A set with
+    one class has no components; a component whose fit fails is named in a warning and left out.
     """
-    weighted, rows, classes = class_weights(with_missing_flags(train, features))
-    if classes < 2:
+    known = known or summary(m)
+    sets = [k for k in sets if known.classes[k].all()]
+    spark = m.table.sparkSession
+
+    def tree(k: int, estimator):
+        low, high = known.class_weight(k)
+        weight = F.when(F.col("target") == 1, high).otherwise(low)
+        rows = m.train(k).select(array_to_vector(filled(F.col("x"), known.medians[k])).alias("features"), "target", weight.alias("class_weight"))
+        return estimator.fit(rows)
+
+    def linear():
+        return fit_logistic(m, known, s.inverse_penalty, sets)
+
+    if not sets:
         return {}
-    known = weighted.agg(*[F.count(c).alias(c) for c in features]).first()
-    weighted = weighted.withColumns({c: F.lit(0.0) for c in features if not known[c]})
-    prepared = Pipeline(stages=median_impute(features, s.median_error)).fit(weighted)
-    ready = prepared.transform(weighted).select("features", "target", "class_weight").persist()
-    try:
-        fitted = {}
-        for name, model in base_models(s, rows).items():
+    fitted: dict[int, dict] = {k: {} for k in sets}
+    with ThreadPoolExecutor(s.parallel) as pool:
+        jobs = {}
+        # the longest fits first
+        for name in sorted(base_models(s), key=["HistGradientBoosting", "GradientBoosting", "ExtraTrees", "RandomForest"].index):
+            for k in sets:
+                jobs[k, name] = pool.submit(inheritable_thread_target(spark)(tree), k, base_models(s)[name])
+        if "LogisticRegression" in s.models:
+            jobs[None, "LogisticRegression"] = pool.submit(inheritable_thread_target(spark)(linear))
+        for (k, name), job in jobs.items():
             try:
-                fitted[name] = model.fit(ready)
+                found = job.result()
             except Exception as error:
                 warnings.warn(f"component {name} is left out: {error}", stacklevel=2)
-    finally:
-        ready.unpersist()
-    return {name: PipelineModel(stages=[*prepared.stages, model]) for name, model in fitted.items()}
+                continue
+            for j, model in (found.items() if k is None else [(k, found)]):
+                fitted[j][name] = model
+    return {k: Components(m.features, [float(v) for v in known.medians[k]], {n: fitted[k][n] for n in s.models if n in fitted[k]}) for k in sets}
+
 
+def fit_components(train: DataFrame, features: list[str], s: EnsembleSettings) -> Components:
+    """Imputation and component models fitted on the given rows only."""
+    return fit_sets(single_matrix(train, features), s, [0]).get(0, Components(features, [0.0] * len(features), {}))
 
-def component_columns(df: DataFrame, models: dict[str, PipelineModel], features: list[str]) -> DataFrame:
-    """Add ``p_<model>`` for every component, in one pass: all share the imputation and chain their columns."""
-    d = with_missing_flags(df, features)
-    keep = [c for c in d.columns if c not in features and not c.endswith("_missing")]
-    for stage in next(iter(models.values())).stages[:-1]:
-        d = stage.transform(d)
-    for name, pipeline in models.items():
-        model = pipeline.stages[-1]
-        own = {model.probabilityCol: f"_v_{name}", model.rawPredictionCol: f"_r_{name}", model.predictionCol: f"_c_{name}"}
-        d = model.copy(own).transform(d)
-    return d.select(*keep, *[clip(vector_to_array(f"_v_{name}")[1], 0.0, 1.0).alias(f"p_{name}") for name in models])
 
+def component_columns(df: DataFrame, models: Components, features: list[str]) -> DataFrame:
+    """The columns that are no features, and ``p_<model>`` for every component, in one pass."""
+    inputs = set(features)
+    d = df.select(*[c for c in df.columns if c not in inputs], values(df, features).alias("_x"))
+    return models.columns(d, F.col("_x")).drop("_x")
 
-def component_probabilities(df: DataFrame, models: dict[str, PipelineModel], features: list[str]) -> DataFrame:
+
+def _long(d: DataFrame, names) -> DataFrame:
+    keys = [c for c in ("symbol", "ts", "fold", "target") if c in d.columns]
+    parts = [F.struct(F.lit(name).alias("model"), F.col(f"p_{name}").alias("p_up")) for name in names]
+    return d.select(*keys, F.inline(F.array(*parts)))
+
+
+def component_probabilities(df: DataFrame, models: Components, features: list[str]) -> DataFrame:
     """Long table (symbol, ts, ..., model, p_up) of all components."""
-    keys = [c for c in ("symbol", "ts", "fold", "target") if c in df.columns]
-    parts = [F.struct(F.lit(name).alias("model"), F.col(f"p_{name}").alias("p_up")) for name in models]
-    return component_columns(df, models, features).select(*keys, F.inline(F.array(*parts)))
+    return _long(component_columns(df, models, features), models)
+
+
+def _validated(m: Matrix, fitted: dict[int, Components]) -> DataFrame:
+    """Out-of-fold probabilities of the folds' own validation rows."""
+    out = None
+    for k, models in fitted.items():
+        if k and len(models):
+            p = _long(models.columns(m.validation(k), F.col("x")), models)
+            out = p if out is None else out.unionByName(p)
+    if out is None:
+        raise ValueError("no fold with two classes")
+    return out.withColumnRenamed("target", "actual")
 
 
 def oof_predict(
@@ -155,22 +187,10 @@ def oof_predict(
 ) -> DataFrame:
     """Out-of-fold probabilities: each fold's models see only earlier rows.
 
-    The folds are cut by date over the whole panel, and the rows are written
-    once so that the fits read a table instead of repeating the features.
+    The folds are cut by date over the whole panel.
     """
-    rows = cut_lineage(labelled.select("symbol", "ts", *features, "target"), "training")
-    assigned = time_folds(rows.select("symbol", "ts", "target"), s.folds, by).select("symbol", "ts", "fold", "role")
-    assigned = cut_lineage(assigned, "folds")
-    out = None
-    for fold in range(1, s.folds + 1):
-        part = rows.join(assigned.filter(F.col("fold") == fold), ["symbol", "ts"])
-        models = fit_components(part.filter("role = 'train'"), features, s)
-        if models:
-            p = component_probabilities(part.filter("role = 'validation'"), models, features)
-            out = p if out is None else out.unionByName(p)
-    if out is None:
-        raise ValueError("no fold with two classes")
-    return out.withColumnRenamed("target", "actual")
+    m = training_matrix(labelled, features, s.folds, by)
+    return _validated(m, fit_sets(m, s, list(range(1, s.folds + 1))))
 
 
 AUC_BINS = 4096
@@ -327,7 +347,7 @@ def validation_metrics(pairs: DataFrame, p: str = "p_up", y: str = "actual") ->
 class Ensemble:
     """Fitted components with their weights, calibrator and out-of-fold table."""
 
-    models: dict[str, PipelineModel]
+    models: Components
     features: list[str]
     weights: DataFrame
     calibrator: Calibrator
@@ -358,12 +378,12 @@ class Ensemble:
         """
         weight = {r["model"]: r["weight"] for r in self.weights.collect()}
         total, used = dict.fromkeys(self.features, 0.0), 0.0
-        for name, model in self.models.items():
-            last = model.stages[-1]
+        for name in self.models:
+            model = self.models[name]
             if name == "HistGradientBoosting" or weight.get(name, 0.0) <= 0:
                 continue
-            vector = last.coefficients if hasattr(last, "coefficients") else last.featureImportances
-            values = [abs(float(v)) for v in vector.toArray()[: len(self.features)]]
+            vector = model.coefficients if isinstance(model, Logistic) else model.featureImportances.toArray()
+            values = [abs(float(v)) for v in vector[: len(self.features)]]
             scale = sum(values) or 1.0
             for f, v in zip(self.features, values):
                 total[f] += weight[name] * v / scale
@@ -374,12 +394,13 @@ class Ensemble:
 def fit_final(
     labelled: DataFrame, features: list[str], s: EnsembleSettings = EnsembleSettings(), by: str = "date"
 ) -> Ensemble:
-    """Out-of-fold validation, weights and calibration, then a refit on all rows."""
-    rows = cut_lineage(labelled.select("symbol", "ts", *features, "target"), "labelled")
-    oof = cut_lineage(oof_predict(rows, features, s, by), "oof")
+    """Out-of-fold validation, weights and calibration, and a fit on all rows, from one matrix."""
+    m = training_matrix(labelled, features, s.folds, by)
+    fitted = fit_sets(m, s, list(range(s.folds + 1)))
+    oof = cut_lineage(_validated(m, fitted), "oof")
     weights = cut_lineage(ensemble_weights(component_metrics(oof)), "weights")
     pairs = weighted_vote(oof, weights, ("symbol", "ts", "fold", "actual"))
-    return Ensemble(fit_components(rows, features, s), features, weights, calibrate(pairs), oof)
+    return Ensemble(fitted[0], features, weights, calibrate(pairs), oof)
 
 
 def model_summary(ensemble: Ensemble, labelled: DataFrame) -> DataFrame:

@@ -88,8 +88,8 @@ def fold_roles(pos: Column, n: Column, folds: int = FOLDS) -> Column:
     return F.filter(roles, lambda r: r["role"].isNotNull())
 
 
-def time_folds(df: DataFrame, folds: int = FOLDS, by: str = "symbol") -> DataFrame:
-    """One row per (row, fold) with its role.
+def time_folds(df: DataFrame, folds: int = FOLDS, by: str = "symbol", nested: bool = False) -> DataFrame:
+    """One row per (row, fold) with its role, or with ``nested`` every row once and an array ``roles`` of them.
 
     ``by="symbol"`` counts the rows of each symbol.  ``by="date"`` ranks the
     distinct dates of the whole panel, so that no symbol's training rows are
@@ -117,7 +117,8 @@ def time_folds(df: DataFrame, folds: int = FOLDS, by: str = "symbol") -> DataFra
         d = df.withColumn("_day", F.to_date("ts")).join(F.broadcast(ranked), "_day").drop("_day")
     else:
         raise ValueError("by must be 'symbol' or 'date'")
-    return d.select(*df.columns, F.inline(fold_roles(F.col("_pos"), F.col("_n"), folds)))
+    roles = fold_roles(F.col("_pos"), F.col("_n"), folds)
+    return d.select(*df.columns, roles.alias("roles") if nested else F.inline(roles))
 
 
 def class_balance(labelled: DataFrame) -> DataFrame:

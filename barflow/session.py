@@ -7,6 +7,12 @@ import os
 from pyspark.sql import SparkSession
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Let the Python workers of a local session import this package where it is not installed."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Settings for the wide feature stages.
 

@@ -665,7 +665,9 @@ def _summary(symbol: bool = True) -> str:
 
 
 def ensemble_oracles() -> dict[str, str]:
-    inputs = ["roc10", "rsi14", "macd_hist", "relative_volume", "regime_score", "weekly_slope", "bb_position"]
+    inputs = [c for c in FEATURES if c != "regime"]
+    medians = ", ".join(f"median({c}) AS {c}" for c in inputs)
+    imputed = ", ".join(real(f"coalesce(f3.{c}, middle.{c}, 0)", f"{c}_filled") for c in inputs)
     train = f"""
 SELECT symbol, ts, target FROM (
   SELECT f3.symbol, f3.ts, lab1.target, count(*) OVER w AS c, min(lab1.target) OVER w AS lo, max(lab1.target) OVER w AS hi,
@@ -680,6 +682,10 @@ WHERE c >= 120 AND lo < hi AND newest <= 1200"""
         ),
         "model_features": sel("f3", KEYS, ", ".join(column(c) for c in inputs)),
         "training_rows": query(f"SELECT {KEYS}, {whole('target')} FROM ({train})"),
+        "median_impute": query(
+            f"SELECT f3.symbol, CAST(f3.ts AS VARCHAR) AS ts, {imputed} FROM f3 CROSS JOIN (SELECT {medians} FROM f3 JOIN ({train}) t "
+            "ON f3.symbol = t.symbol AND f3.ts = t.ts) middle"
+        ),
         "time_folds": sel("folds", KEYS, whole("fold"), "role"),
         "component_metrics": sel("cmet", "model", whole("oof_samples"), reals("log_loss", "roc_auc")),
         "ensemble_weights": sel("wts", "model", real("weight")),

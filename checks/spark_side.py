@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,13 +14,14 @@ from barflow.operators import (
 )
 from barflow.operators import decision as M
 from barflow.operators import evaluate as E
+from barflow.operators.training import single_matrix, summary
 from barflow.plans import walk_forward
 from barflow.plans.analysis import analyze, context_rows, decide
 from barflow.plans.features import add_features, build_features, feature_columns, model_matrix
 from barflow.session import tune
 from barflow.sources import bars as B
 from barflow.sources import derived as D
-from barflow.sources.scratch import scratch_path
+from barflow.sources.scratch import cut_lineage, scratch_path
 from barflow.streaming.signals import stable_signal_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -264,18 +264,20 @@ def context_queries() -> dict[str, Query]:
 
 # --- labels and ensemble ---------------------------------------------------
 
-# Model sizes of the registered fits: every row, few rounds and trees.
-QUICK = ensemble.EnsembleSettings(boosting_rounds=3, forest_trees=5, folds=2)
-MODEL_INPUTS = ["roc10", "rsi14", "macd_hist", "relative_volume", "regime_score", "weekly_slope", "bb_position"]
+# Sizes of the registered fits: all rows, features and folds, fewer rounds and trees than the defaults.
+PANEL = ensemble.EnsembleSettings(boosting_rounds=10, forest_trees=20)
 
 
 def _labelled(spark, sf_dir):
-    d = add_features(D.bars(tune(spark), sf_dir)).select("symbol", "ts", "close", *MODEL_INPUTS)
-    return labels.label_direction(d, D.HORIZON)
+    """Features and label of every bar, with the names of the features."""
+    d = add_features(D.bars(tune(spark), sf_dir))
+    names = feature_columns(d)
+    return labels.label_direction(d.select("symbol", "ts", "close", *names), D.HORIZON), names
 
 
 def _training(spark, sf_dir):
-    return labels.training_rows(_labelled(spark, sf_dir), MODEL_INPUTS)
+    every, names = _labelled(spark, sf_dir)
+    return labels.training_rows(every, names)
 
 
 def q_time_folds(spark, sf_dir):
@@ -294,19 +296,10 @@ def q_weighted_vote(spark, sf_dir):
     return tidy(ensemble.weighted_vote(parts, weights))
 
 
-def q_base_models(spark, sf_dir):
-    rows = _training(spark, sf_dir)
-    models = ensemble.fit_components(rows, MODEL_INPUTS, QUICK)
-    return tidy(ensemble.component_probabilities(_labelled(spark, sf_dir), models, MODEL_INPUTS))
-
-
 def q_median_impute(spark, sf_dir):
-    d = add_features(D.bars(tune(spark), sf_dir))
-    names = feature_columns(d)
-    every = labels.label_direction(d.select("symbol", "ts", "close", *names), D.HORIZON)
-    rows = ensemble.with_missing_flags(labels.training_rows(every, names), names)
-    model = Pipeline(stages=ensemble.median_impute(names)).fit(rows)
-    filled = model.transform(ensemble.with_missing_flags(every, names))
+    every, names = _labelled(spark, sf_dir)
+    known = summary(single_matrix(labels.training_rows(every, names), names))
+    filled = ensemble.median_impute(every, names, known.medians[0])
     return tidy(filled.select("symbol", "ts", *[f"{c}_filled" for c in names]))
 
 
@@ -316,30 +309,44 @@ def q_calibrate(spark, sf_dir):
     return tidy(pairs.select("symbol", "ts", c.apply(F.col("probability")).alias("calibrated")))
 
 
+_ENSEMBLES: dict[tuple[str, str], tuple] = {}
+
+
 def _fitted(spark, sf_dir):
-    rows = _training(spark, sf_dir)
-    return rows, ensemble.fit_final(rows, MODEL_INPUTS, QUICK)
+    """(labelled bars, training rows, ensemble), fitted once per session and data path and used by several queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ENSEMBLES:
+        every, names = _labelled(spark, sf_dir)
+        every = cut_lineage(every, "labelled")
+        rows = labels.training_rows(every, names)
+        _ENSEMBLES[key] = every, rows, ensemble.fit_final(rows, names, PANEL)
+    return _ENSEMBLES[key]
+
+
+def q_base_models(spark, sf_dir):
+    every, _, model = _fitted(spark, sf_dir)
+    return tidy(model.components(every))
 
 
 def q_predict_proba(spark, sf_dir):
-    _, model = _fitted(spark, sf_dir)
-    return tidy(model.predict_proba(_labelled(spark, sf_dir)))
+    every, _, model = _fitted(spark, sf_dir)
+    return tidy(model.predict_proba(every))
 
 
 def q_fit_final(spark, sf_dir):
-    rows, model = _fitted(spark, sf_dir)
+    _, rows, model = _fitted(spark, sf_dir)
     p = model.predict_proba(rows).join(rows.select("symbol", "ts", "target"), ["symbol", "ts"])
     right = ((F.col("p_up") >= 0.5).cast("int") == F.col("target")).cast("double")
     return tidy(p.agg(F.avg(right).alias("training_accuracy"), F.count(F.lit(1)).alias("rows")))
 
 
 def q_feature_importance(spark, sf_dir):
-    _, model = _fitted(spark, sf_dir)
+    _, _, model = _fitted(spark, sf_dir)
     return tidy(spark.createDataFrame(model.feature_importance(), "feature string, importance double"))
 
 
 def q_model_summary(spark, sf_dir):
-    rows, model = _fitted(spark, sf_dir)
+    _, rows, model = _fitted(spark, sf_dir)
     return tidy(ensemble.model_summary(model, rows).drop("components"))
 
 
@@ -353,12 +360,12 @@ def ensemble_queries() -> dict[str, Query]:
         "label_direction": on_bars(
             lambda b: labels.label_direction(b, D.HORIZON).select("symbol", "ts", "future_return", "target")
         ),
-        "model_features": lambda s, d: tidy(_labelled(s, d).select("symbol", "ts", *MODEL_INPUTS)),
+        "model_features": lambda s, d: tidy(_labelled(s, d)[0].drop("close", "future_return", "target")),
         "training_rows": lambda s, d: tidy(_training(s, d).select("symbol", "ts", "target")),
         "time_folds": q_time_folds,
         "base_models": q_base_models,
         "median_impute": q_median_impute,
-        "oof_predict": lambda s, d: tidy(ensemble.oof_predict(_training(s, d), MODEL_INPUTS, QUICK)),
+        "oof_predict": lambda s, d: tidy(_fitted(s, d)[2].oof),
         "component_metrics": lambda s, d: tidy(ensemble.component_metrics(_oof(s, d))),
         "ensemble_weights": lambda s, d: tidy(ensemble.ensemble_weights(ensemble.component_metrics(_oof(s, d)))),
         "weighted_vote": q_weighted_vote,
