@@ -236,18 +236,18 @@ def component_metrics(oof: DataFrame) -> DataFrame:
     return stats.filter("oof_samples >= 10").join(roc_auc(clipped, ["model"]), "model")
 
 
-def ensemble_weights(metrics: DataFrame) -> DataFrame:
-    """Normalised weight per component; the table has one row per model."""
+def ensemble_weights(metrics: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Normalised weight per component (of every group); the table has one row per model."""
     base = F
     for name, w in BASE_WEIGHTS.items():
         base = base.when(F.col("model") == name, w)
     quality = clip(1.0 / F.greatest(F.col("log_loss"), F.lit(0.05)) / 1.50, 0.50, 1.50)
     names = F.explode(F.array(*[F.lit(m) for m in MODELS])).alias("model")
-    every = metrics.groupBy().agg(F.count(F.lit(1)).alias("_n")).select(names)
-    d = every.join(metrics.select("model", "log_loss"), "model", "left")
+    every = metrics.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select(*by, names)
+    d = every.join(metrics.select(*by, "model", "log_loss"), [*by, "model"], "left")
     raw = F.coalesce(base.otherwise(1.0) * quality, F.lit(0.01))
-    d = d.select("model", raw.alias("_raw"))
-    return d.select("model", (F.col("_raw") / F.sum("_raw").over(Window.partitionBy())).alias("weight"))
+    d = d.select(*by, "model", raw.alias("_raw"))
+    return d.select(*by, "model", (F.col("_raw") / F.sum("_raw").over(Window.partitionBy(*by))).alias("weight"))
 
 
 def weighted_vote(components: DataFrame, weights: DataFrame, keys: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
@@ -356,10 +356,15 @@ class Ensemble:
     def components(self, df: DataFrame) -> DataFrame:
         return component_probabilities(df, self.models, self.features)
 
-    def predict_proba(self, df: DataFrame) -> DataFrame:
+    def pairs(self) -> DataFrame:
+        """(symbol, ts, probability, actual): the calibrated vote of the out-of-fold table."""
+        voted = weighted_vote(self.oof, self.weights, ("symbol", "ts", "fold", "actual"))
+        return voted.select("symbol", "ts", self.calibrator.apply(F.col("p_up")).alias("probability"), F.col("actual").cast("double").alias("actual"))
+
+    def predict_proba(self, df: DataFrame, keep: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
         """Calibrated probability and agreement per row, as expressions on one pass; batch or stream."""
         weight = {r["model"]: r["weight"] for r in self.weights.collect()}  # one row per model
-        d = component_columns(df, self.models, self.features)
+        d = self.models.columns(df.select(*keep, values(df, self.features).alias("_x")), F.col("_x"))
         ps = {name: F.col(f"p_{name}") for name in self.models}
         total = lambda value: sum((value(n, p) for n, p in ps.items()), F.lit(0.0))
         share = total(lambda n, p: F.when(p.isNotNull(), weight.get(n, 0.0)).otherwise(0.0))
@@ -367,7 +372,7 @@ class Ensemble:
         many = total(lambda n, p: p.isNotNull().cast("double"))
         up = total(lambda n, p: F.coalesce((p >= 0.5).cast("double"), F.lit(0.0)))
         return d.select(
-            "symbol", "ts", self.calibrator.apply(F.coalesce(vote, F.lit(0.5))).alias("p_up"),
+            *keep, self.calibrator.apply(F.coalesce(vote, F.lit(0.5))).alias("p_up"),
             F.try_divide(F.greatest(up, many - up), many).alias("agreement"),
         )
 

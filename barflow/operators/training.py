@@ -34,7 +34,7 @@ class Matrix:
     folds: int
 
     def train(self, k: int) -> DataFrame:
-        return self.table.where(F.col("sets").bitwiseAND(1 << k) != 0)
+        return self.table.where(F.getbit("sets", F.lit(k)) == 1)
 
     def validation(self, k: int) -> DataFrame:
         return self.table.where(F.col("fold") == k)
@@ -156,7 +156,7 @@ def summary(m: Matrix) -> Summary:
                 moments += [(~missing).sum(axis=0), filled.sum(axis=0), (filled**2).sum(axis=0)]
             for k in range(many):
                 rows = _chosen(sets, k)
-                classes[k] += np.bincount(target[rows], minlength=2)[:2]
+                classes[k] += np.bincount(target[rows].astype(np.int64), minlength=2)[:2]
                 count[k] += (~missing[rows]).sum(axis=0)
                 if rows.any():
                     low[k] = np.minimum(low[k], np.where(missing[rows], TOP, keys[rows]).min(axis=0))

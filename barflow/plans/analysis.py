@@ -19,28 +19,10 @@ CONTEXT = [
 ]
 
 
-def context_rows(
-    bars: DataFrame,
-    predictions: DataFrame,
-    index: DataFrame,
-    mapping: DataFrame | None = None,
-    sentiment: DataFrame | None = None,
-    pairs: DataFrame | None = None,
-    latest: bool = True,
-) -> DataFrame:
-    """Features, probability and all context columns per (symbol, ts).
-
-    With ``latest`` the rows shrink to one per symbol before any join.
-    """
-    features = add_features(bars).select(*CONTEXT)
-    if latest:
-        last = features.groupBy("symbol").agg(
-            F.max("ts").alias("ts"), *[F.max_by(c, "ts").alias(c) for c in CONTEXT[2:]]
-        )
-        features = last.select(*CONTEXT)
+def with_context(d: DataFrame, bars: DataFrame, index: DataFrame, mapping: DataFrame | None, sentiment: DataFrame | None) -> DataFrame:
+    """Add the market, sector, breadth and news columns to rows of (symbol, ts) with ``roc20``."""
     on = ["symbol", "ts"]
     market = market_summary(index)
-    d = features.join(predictions.select(*on, "p_up", "agreement"), on)
     d = d.join(
         market.select("ts", F.col("trend").alias("market_trend"), F.col("score").alias("market_score"),
                       F.col("bias").alias("market_bias"), "market_return"),
@@ -61,6 +43,30 @@ def context_rows(
     else:
         s = symbol_sentiment(sentiment).select("symbol", F.col("recent_score").alias("sentiment"), "articles")
         d = fill_no_news(d.join(s, "symbol", "left")).na.fill({"sentiment": 0.0})
+    return d
+
+
+def context_rows(
+    bars: DataFrame,
+    predictions: DataFrame,
+    index: DataFrame,
+    mapping: DataFrame | None = None,
+    sentiment: DataFrame | None = None,
+    pairs: DataFrame | None = None,
+    latest: bool = True,
+) -> DataFrame:
+    """Features, probability and all context columns per (symbol, ts).
+
+    With ``latest`` the rows shrink to one per symbol before any join.
+    """
+    features = add_features(bars).select(*CONTEXT)
+    if latest:
+        last = features.groupBy("symbol").agg(
+            F.max("ts").alias("ts"), *[F.max_by(c, "ts").alias(c) for c in CONTEXT[2:]]
+        )
+        features = last.select(*CONTEXT)
+    d = features.join(predictions.select("symbol", "ts", "p_up", "agreement"), ["symbol", "ts"])
+    d = with_context(d, bars, index, mapping, sentiment)
     if pairs is None:
         evidence = {"high_confidence_samples": F.lit(0).cast("long"), "high_confidence_accuracy": F.lit(None).cast("double"),
                     "ece": F.lit(None).cast("double")}

@@ -664,6 +664,15 @@ def _summary(symbol: bool = True) -> str:
     )
 
 
+def _validated(train: str) -> str:
+    """Number of validation rows per symbol of five expanding folds over the dates of the training rows."""
+    return f"""
+SELECT symbol, count(*) AS validation_samples FROM ({train}) t JOIN (
+  SELECT ts AS day, row_number() OVER (ORDER BY ts) - 1 AS at, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM ({train}))) d ON t.ts = d.day
+JOIN range(1, 6) f(k) ON at >= n - (6 - k) * (n // 6) AND at < n - (5 - k) * (n // 6) AND n - (6 - k) * (n // 6) >= 60 AND n // 6 >= 5
+GROUP BY symbol"""
+
+
 def ensemble_oracles() -> dict[str, str]:
     inputs = [c for c in FEATURES if c != "regime"]
     medians = ", ".join(f"median({c}) AS {c}" for c in inputs)
@@ -682,6 +691,23 @@ WHERE c >= 120 AND lo < hi AND newest <= 1200"""
         ),
         "model_features": sel("f3", KEYS, ", ".join(column(c) for c in inputs)),
         "training_rows": query(f"SELECT {KEYS}, {whole('target')} FROM ({train})"),
+        "analyze_fitted_rules": query(
+            f"SELECT f3.symbol, CAST(f3.ts AS VARCHAR) AS ts, {real('f3.close', 'close')}, regime, ms_cold.trend AS structure_trend, "
+            "CAST(coalesce(validation_samples, 0) AS BIGINT) AS validation_samples, 1::BIGINT AS bounded, 1::BIGINT AS agreed, 1::BIGINT AS consistent, "
+            "1::BIGINT AS context_small, 1::BIGINT AS gated, 1::BIGINT AS evidence_known "
+            f"FROM f3 JOIN ms_cold ON f3.symbol = ms_cold.symbol AND f3.ts = ms_cold.ts LEFT JOIN ({_validated(train)}) v ON f3.symbol = v.symbol "
+            "WHERE ms_cold.pos = ms_cold.n - 1"
+        ),
+        "prediction_versions": query(f"""
+SELECT p.symbol, CAST(p.ts AS VARCHAR) AS ts, CAST(v AS BIGINT) AS version, CAST(trained_at AS VARCHAR) AS trained_at,
+       CAST(last_label AS VARCHAR) AS last_label, CAST(train_rows AS BIGINT) AS train_rows
+FROM q p JOIN (
+  SELECT d.v, d.day AS trained_at, d.until, max(k.known) AS last_label, count(*) AS train_rows
+  FROM (SELECT day, (at - 180) // 400 + 1 AS v, lead(day) OVER (ORDER BY day) AS until
+        FROM (SELECT ts AS day, row_number() OVER (ORDER BY ts) - 1 AS at FROM (SELECT DISTINCT ts FROM q)) WHERE at >= 180 AND (at - 180) % 400 = 0) d
+  JOIN (SELECT symbol, ts, lead(ts, 5) OVER (PARTITION BY symbol ORDER BY ts) AS known, lead(close, 5) OVER (PARTITION BY symbol ORDER BY ts) AS later FROM q) k
+    ON k.known <= d.day AND k.later IS NOT NULL GROUP BY ALL) x
+  ON p.ts >= x.trained_at AND (x.until IS NULL OR p.ts < x.until)"""),
         "median_impute": query(
             f"SELECT f3.symbol, CAST(f3.ts AS VARCHAR) AS ts, {imputed} FROM f3 CROSS JOIN (SELECT {medians} FROM f3 JOIN ({train}) t "
             "ON f3.symbol = t.symbol AND f3.ts = t.ts) middle"

@@ -17,6 +17,7 @@ from barflow.operators import evaluate as E
 from barflow.operators.training import single_matrix, summary
 from barflow.plans import walk_forward
 from barflow.plans.analysis import analyze, context_rows, decide
+from barflow.plans.fitted import analyze_fitted, version_matrix, walk_forward_fitted
 from barflow.plans.features import add_features, build_features, feature_columns, model_matrix
 from barflow.session import tune
 from barflow.sources import bars as B
@@ -265,7 +266,9 @@ def context_queries() -> dict[str, Query]:
 # --- labels and ensemble ---------------------------------------------------
 
 # Sizes of the registered fits: all rows, features and folds, fewer rounds and trees than the defaults.
-PANEL = ensemble.EnsembleSettings(boosting_rounds=10, forest_trees=20)
+PANEL = ensemble.EnsembleSettings(boosting_rounds=5, forest_trees=10)
+
+VERSIONS = ensemble.EnsembleSettings(boosting_rounds=3, forest_trees=10)
 
 
 def _labelled(spark, sf_dir):
@@ -355,6 +358,57 @@ def q_validation_metrics(spark, sf_dir):
     return tidy(ensemble.validation_metrics(pairs, "probability", "actual"))
 
 
+# A version a year of trading days.
+YEARLY = E.Settings(retrain_every=400)
+
+
+def q_analyze_fitted(spark, sf_dir):
+    _, _, model = _fitted(spark, sf_dir)
+    d = _analyzed(spark, sf_dir, model)
+    return tidy(
+        d.select(
+            "symbol", "ts", "close", "regime", "p_up", "agreement", "validation_samples", "high_confidence_samples", "ece", "final_probability",
+            "signal", "confidence", "passed_checks", "eligible", "evidence_score", "evidence_status", "stop_loss", "target",
+        )
+    )
+
+
+def _analyzed(spark, sf_dir, model):
+    b = D.bars(tune(spark), sf_dir)
+    return analyze_fitted(b, model, D.market_index(b), D.sectors(spark, sf_dir), D.raw_news(spark, sf_dir), D.HORIZON)
+
+
+def q_analyze_fitted_rules(spark, sf_dir):
+    """What must hold of every fitted decision, whatever the model: 1 where it does."""
+    _, _, model = _fitted(spark, sf_dir)
+    d = _analyzed(spark, sf_dir, model)
+    c = F.col
+    side = F.when(c("final_probability") >= 0.6, "BUY").when(c("final_probability") <= 0.4, "SELL").otherwise("WAIT")
+    held = (c("signal") == side) | ((c("signal") == "WAIT") & (c("agreement") < 0.8))
+    return tidy(
+        d.select(
+            "symbol", "ts", "close", "regime", F.col("structure.trend").alias("structure_trend"), "validation_samples",
+            c("p_up").between(0.0, 1.0).alias("bounded"), c("agreement").between(0.5, 1.0).alias("agreed"), held.alias("consistent"),
+            (F.abs(c("context_probability") - c("p_up")) <= 0.075 + 1e-12).alias("context_small"),
+            (~c("eligible") | (c("passed_checks") == c("total_checks"))).alias("gated"),
+            (c("high_confidence_samples") <= c("validation_samples")).alias("evidence_known"),
+        )
+    )
+
+
+def q_prediction_versions(spark, sf_dir):
+    every, names = _labelled(spark, sf_dir)
+    m, versions = version_matrix(every, names[:1], YEARLY)
+    rows = m.table.where("fold > 0").select("symbol", "ts", F.col("fold").alias("version"))
+    return tidy(rows.join(versions, "version"))
+
+
+def q_walk_forward_fitted(spark, sf_dir):
+    b = D.bars(tune(spark), sf_dir)
+    every, names = _labelled(spark, sf_dir)
+    return tidy(walk_forward_fitted(b, every, names, YEARLY, VERSIONS))
+
+
 def ensemble_queries() -> dict[str, Query]:
     return {
         "label_direction": on_bars(
@@ -378,6 +432,10 @@ def ensemble_queries() -> dict[str, Query]:
         "class_balance": on_bars(lambda b: labels.class_balance(labels.label_direction(b, D.HORIZON))),
         "data_fingerprint": on_bars(lambda b: labels.data_fingerprint(b, B.BAR_COLUMNS, "h=5")),
         "model_summary": q_model_summary,
+        "analyze_fitted": q_analyze_fitted,
+        "analyze_fitted_rules": q_analyze_fitted_rules,
+        "prediction_versions": q_prediction_versions,
+        "walk_forward_fitted": q_walk_forward_fitted,
     }
 
 
