@@ -668,8 +668,8 @@ def _validated(train: str) -> str:
     """Number of validation rows per symbol of five expanding folds over the dates of the training rows."""
     return f"""
 SELECT symbol, count(*) AS validation_samples FROM ({train}) t JOIN (
-  SELECT ts AS day, row_number() OVER (ORDER BY ts) - 1 AS at, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM ({train}))) d ON t.ts = d.day
-JOIN range(1, 6) f(k) ON at >= n - (6 - k) * (n // 6) AND at < n - (5 - k) * (n // 6) AND n - (6 - k) * (n // 6) >= 60 AND n // 6 >= 5
+  SELECT ts AS day, row_number() OVER (ORDER BY ts) - 1 AS nth, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM ({train}))) d ON t.ts = d.day
+JOIN range(1, 6) f(k) ON nth >= n - (6 - k) * (n // 6) AND nth < n - (5 - k) * (n // 6) AND n - (6 - k) * (n // 6) >= 60 AND n // 6 >= 5
 GROUP BY symbol"""
 
 
@@ -703,8 +703,8 @@ SELECT p.symbol, CAST(p.ts AS VARCHAR) AS ts, CAST(v AS BIGINT) AS version, CAST
        CAST(last_label AS VARCHAR) AS last_label, CAST(train_rows AS BIGINT) AS train_rows
 FROM q p JOIN (
   SELECT d.v, d.day AS trained_at, d.until, max(k.known) AS last_label, count(*) AS train_rows
-  FROM (SELECT day, (at - 180) // 400 + 1 AS v, lead(day) OVER (ORDER BY day) AS until
-        FROM (SELECT ts AS day, row_number() OVER (ORDER BY ts) - 1 AS at FROM (SELECT DISTINCT ts FROM q)) WHERE at >= 180 AND (at - 180) % 400 = 0) d
+  FROM (SELECT day, (nth - 180) // 400 + 1 AS v, lead(day) OVER (ORDER BY day) AS until
+        FROM (SELECT ts AS day, row_number() OVER (ORDER BY ts) - 1 AS nth FROM (SELECT DISTINCT ts FROM q)) WHERE nth >= 180 AND (nth - 180) % 400 = 0) d
   JOIN (SELECT symbol, ts, lead(ts, 5) OVER (PARTITION BY symbol ORDER BY ts) AS known, lead(close, 5) OVER (PARTITION BY symbol ORDER BY ts) AS later FROM q) k
     ON k.known <= d.day AND k.later IS NOT NULL GROUP BY ALL) x
   ON p.ts >= x.trained_at AND (x.until IS NULL OR p.ts < x.until)"""),
