@@ -160,7 +160,7 @@ def non_overlap(exits: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def capital_path(chosen: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Add capital before and after each bar's trade; capital never falls below 0."""
+    """Add capital before and after each bar's trade; capital never falls below 0, and no trade is taken without any."""
     c = F.col
     r = Rows(chosen, order=["pos"])
     growth = F.when(c("taken"), 1.0 + c("net_return"))
@@ -175,9 +175,10 @@ def capital_path(chosen: DataFrame, s: Settings = Settings()) -> DataFrame:
     def capital(product: str, worst: str) -> Column:
         return F.when(c(worst) <= 0, 0.0).otherwise(s.initial_capital * F.coalesce(product, F.lit(1.0)))
 
+    before = capital("_past", "_past_worst")
     return d.select(
-        *chosen.columns,
-        capital("_past", "_past_worst").alias("capital_before"),
+        *[(c("taken") & (before > 0)).alias("taken") if n == "taken" else c(n) for n in chosen.columns],
+        before.alias("capital_before"),
         capital("_all", "_worst").alias("capital_after"),
     )
 

@@ -29,12 +29,13 @@ def unbounded(bars: DataFrame) -> bool:
     return not isinstance(bars.schema["ts"].dataType, T.DateType)
 
 
-def numbered(bars: DataFrame) -> DataFrame:
+def numbered(bars: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Add the row number ``_at`` and row count ``_total`` of the symbol.
 
-    Rows are counted per (symbol, day), the counts are summed along the days
-    (as many as the calendar has) and only the rows of one day are ordered
-    together, so a hot symbol is spread over its days.
+    Rows are in the order of ts, or of the given columns.  They are counted per
+    (symbol, day), the counts are summed along the days (as many as the calendar
+    has) and only the rows of one day are ordered together, so a hot symbol is
+    spread over its days.
     """
     d = bars.select("*", F.to_date("ts").alias("_day"))
     by_day = Window.partitionBy("symbol").orderBy("_day")
@@ -45,7 +46,7 @@ def numbered(bars: DataFrame) -> DataFrame:
         (F.sum("_rows").over(by_day.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows")).alias("_start"),
         F.sum("_rows").over(Window.partitionBy("symbol")).alias("_total"),
     )
-    within = F.row_number().over(Window.partitionBy("symbol", "_day").orderBy("ts"))
+    within = F.row_number().over(Window.partitionBy("symbol", "_day").orderBy(*(order or ["ts"])))
     return d.join(days, ["symbol", "_day"]).select(
         *bars.columns, (F.col("_start") + within - 1).alias("_at"), "_total"
     )

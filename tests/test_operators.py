@@ -72,6 +72,29 @@ def test_stable_signal_equals_loop(spark, persistence):
         assert list(zip(g.signal, g.pending_signal, g.pending_count)) == want
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_rows_of_one_day_equal_loop(spark, monkeypatch, block):
+    """Times of day, one symbol and one day: the scan works in blocks of rows."""
+    from barflow.operators import state_scan
+
+    monkeypatch.setattr(state_scan, "BLOCK", block)
+    pdf = observations(700, ["A"]).reset_index(drop=True)
+    pdf["ts"] = pd.Timestamp("2020-01-01") + pd.to_timedelta(np.arange(700) // 3, "s")
+    pdf["seq"] = np.arange(700)
+    rules = signals.SignalRules(persistence=3)
+    got = signals.stable_signal(spark.createDataFrame(pdf).repartition(5), rules).toPandas().sort_values("seq")
+    e = (pdf.probability - 0.5) + 0.15 * pdf.trend_score
+    assert list(zip(got.signal, got.pending_signal, got.pending_count)) == machine(list(zip(pdf.probability, e, pdf.reset)), rules)
+
+
+def test_no_trade_after_ruin(spark):
+    rows = [("A", k, r, True) for k, r in enumerate([0.1, -1.5, 0.5, 0.5])]
+    d = spark.createDataFrame(rows, "symbol string, pos int, net_return double, taken boolean")
+    got = evaluate.capital_path(d).orderBy("pos").collect()
+    assert [r.taken for r in got] == [True, True, False, False]
+    assert [round(r.capital_after, 6) for r in got] == [110000.0, 0.0, 0.0, 0.0]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from barflow.streaming.signals import stable_signal_stream
 
