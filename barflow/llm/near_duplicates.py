@@ -9,7 +9,9 @@ chance of 6e-7 at a similarity of 0.85, and of 2e-5 at 0.8.
 What meets is confirmed on the full shingle sets. Within a key no pairs are made at first: all are compared with a pivot, so
 that a group of copies becomes one component. Only keys that then still hold several components go on: of their members,
 those are set aside that have too few shingles in common with other components to be linked to any, and the others are
-compared across components.
+compared across components. Before two sets are fetched, the parities of their shingles in 2048 buckets are compared: a bucket
+whose parities differ holds a shingle that only one of them has, so their number bounds the common shingles from above, and
+pairs that cannot reach the similarity are refused without a loss.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .shared import slices, text_or_empty, utf8, written
 from .words import LOWER, hashes, mixed, spans
 
 BASE = np.uint64(0xD6E8FEB86659FD93)
+#: Numbers of 64 bits that hold the parities of a set.
+WORDS = 32
 
 
 @dataclass(frozen=True)
@@ -134,6 +138,21 @@ def can_link(index: Index, percent: int, n: str, m: str, sig: str, other: str):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (distance <= index.distance + index.slack)
 
 
+def parities(sets: list[np.ndarray]) -> list[list[int]]:
+    """For each set the parity of its number of shingles in each of 64 * WORDS buckets, as WORDS numbers of 64 bits."""
+    out = []
+    for shingles in sets:
+        odd = np.bincount(mixed(shingles ^ BASE) % np.uint64(64 * WORDS), minlength=64 * WORDS) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist())
+    return out
+
+
+def may_share_enough(percent: int, n: str, m: str, parity: str, other: str):
+    """Whether the parities of two sets of n and m shingles allow a link."""
+    differ = sum((F.bit_count(F.col(parity)[i].bitwiseXOR(F.col(other)[i])) for i in range(WORDS)), F.lit(0))
+    return (F.col(n) + F.col(m) - differ) * (100 + percent) >= 2 * percent * (F.col(n) + F.col(m))
+
+
 def close_pairs(pairs: DataFrame, members: DataFrame, index: Index, percent: int) -> DataFrame:
     """Of the candidate pairs (u, v), those that signature and set sizes allow."""
     side = lambda name, other: members.select(F.col("id").alias(name), F.struct("sig", "n").alias(other))
@@ -186,10 +205,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, index: I
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(*utf8(batch.column("text")), width)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "set"])
+            columns = [batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(parities(sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "set", "parity"])
 
     # an id repeated with other texts: the set of its class, by size and hash
-    sets = chosen.mapInArrow(full, "id long, set binary").dropDuplicates(["id"])
+    sets = chosen.mapInArrow(full, "id long, set binary, parity array<long>").dropDuplicates(["id"])
     sets = written(sets, "sets")
 
     ordered = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
@@ -205,11 +225,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, index: I
     tagged = keyed.join(labels, "id", "left").select("key", "k", "id", F.coalesce("label", "id").alias("label"))
     mixed_keys = tagged.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
     tagged = written(tagged.join(mixed_keys, "key").join(members.select("id", "n"), "id"), "open")
-    left = tagged.join(linkable(tagged, sets, percent).join(members.select("id", "sig", chunk_keys(index).alias("keys")), "id"), "id")
-    right = left.select("key", *(F.col(c).alias(f"{c}_") for c in ("id", "label", "n", "common", "sig", "keys")))
+    left = linkable(tagged, sets, percent).join(members.select("id", "sig", chunk_keys(index).alias("keys")), "id")
+    left = tagged.join(left.join(sets.select("id", "parity"), "id"), "id")
+    right = left.select("key", *(F.col(c).alias(f"{c}_") for c in ("id", "label", "n", "common", "sig", "keys", "parity")))
     first = F.array_position(F.zip_with("keys", "keys_", lambda a, b: a == b), F.lit(True)) == F.col("k") + 1  # each pair once
     overlap = F.least("common", "common_") * (100 + percent) >= percent * (F.col("n") + F.col("n_"))
-    possible = (F.col("label") < F.col("label_")) & overlap & first & can_link(index, percent, "n", "n_", "sig", "sig_")
+    possible = (F.col("label") < F.col("label_")) & overlap & may_share_enough(percent, "n", "n_", "parity", "parity_")
+    possible = possible & first & can_link(index, percent, "n", "n_", "sig", "sig_")
     pairs = left.join(right, "key").where(possible)
     more = written(confirmed(pairs.select(*ordered("id", "id_")), sets, percent), "links")
     labels = components(more.union(labels.where("id != label").select(F.col("id").alias("u"), F.col("label").alias("v"))))

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +233,19 @@ def test_mix_of_odd_rows(make, odd):
     got = mix_documents(make(odd)).collect()
     assert len(got) == len(odd) and all(r.taken <= 2 * r.size for r in got)
     assert mix_documents(make(odd).limit(0)).count() == 0 and mix_documents(make([(1, None, None)])).first().target == 0
+
+
+def test_parities_bound_the_common_shingles(spark):
+    from barflow.llm.near_duplicates import may_share_enough, parities
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(300):
+        both, a, b = (rng.integers(0, 2**63, int(k), dtype=np.uint64) for k in rng.integers(1, [300, 120, 120]))
+        x, y = (np.unique(np.concatenate([both, own])) for own in (a, b))
+        common = len(np.intersect1d(x, y))
+        rows.append((len(x), len(y), *parities([x, y]), 100 * common >= 80 * (len(x) + len(y) - common)))
+    d = spark.createDataFrame(rows, "n int, m int, p array<long>, q array<long>, linked boolean")
+    got = d.select("linked", may_share_enough(80, "n", "m", "p", "q").alias("may")).collect()
+    assert all(r.may for r in got if r.linked) and any(r.linked for r in got)
+    assert sum(r.may for r in got) < 1.2 * sum(r.linked for r in got)
