@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barflow.functions.nulls import change, clip, div, flag
 from barflow.operators.layout import Rows
-from barflow.operators.staged import Group, staged
+from barflow.operators.staged import Group, over_panel
 from barflow.operators.technical import CORE, LEVEL_BARS
 
 RETURN_BARS = (1, 3, 5, 10, 20)
@@ -118,9 +118,9 @@ COLUMNS = [name for group in GROUPS.values() for name in group]
 
 def price_action(bars: DataFrame) -> DataFrame:
     """Bars plus the price-action columns."""
-    return staged(bars, CORE, PRICE_ACTION).select(*bars.columns, *COLUMNS)
+    return over_panel(bars, CORE, PRICE_ACTION).select(*bars.columns, *COLUMNS)
 
 
 def pattern(bars: DataFrame, group: str) -> DataFrame:
     """Only the columns of one price-action group, keyed by symbol and ts."""
-    return staged(bars, CORE, PRICE_ACTION).select("symbol", "ts", *GROUPS[group])
+    return over_panel(bars, CORE, PRICE_ACTION).select("symbol", "ts", *GROUPS[group])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barflow.functions.nulls import change, flag, vote
 from barflow.operators.layout import Rows, put
-from barflow.operators.staged import Group, staged
+from barflow.operators.staged import Group, over_panel
 from barflow.operators.technical import CORE, SLOPE_BARS, SPANS
 
 RANK_BARS = 100
@@ -102,7 +102,7 @@ def named(d: DataFrame) -> DataFrame:
 
 
 def add_regime(df: DataFrame, warmup: str = "reference") -> DataFrame:
-    return named(staged(df, CORE, regime_stage(warmup)))
+    return named(over_panel(df, CORE, regime_stage(warmup)))
 
 
 # Output columns of each group.

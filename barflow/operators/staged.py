@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 
 from barflow.operators.layout import Ema, Rows, add, add_emas, index_rows
+from barflow.operators.segments import split, unbounded
 
 Level = Callable[[Rows, set], "dict[str, Column]"]
 
@@ -51,3 +52,15 @@ def staged(df: DataFrame, *groups: Group) -> DataFrame:
             cols.update(getattr(g, level)(r, have))
         d = add(d, **cols)
     return d
+
+
+def over_panel(bars: DataFrame, *groups: Group) -> DataFrame:
+    """Add the columns of all groups to the bars of whole symbols.
+
+    Symbols with a time of day are cut into segments for it, so that no
+    partition grows with the length of a series; of the repeated rows only
+    those of their own segment are returned.
+    """
+    if "segment" in bars.columns or not unbounded(bars):
+        return staged(bars, *groups)
+    return staged(split(bars), *groups).filter("_core")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barflow.functions.nulls import change, clip, div, flag, sign_of
 from barflow.operators.layout import Ema, Rows, span
-from barflow.operators.staged import Group, staged
+from barflow.operators.staged import Group, over_panel
 
 SPANS = (20, 50, 200)
 SLOPE_BARS = dict(zip(SPANS, (5, 10, 20)))
@@ -189,9 +189,9 @@ COLUMNS = [name for group in GROUPS.values() for name in group]
 
 def technical(bars: DataFrame) -> DataFrame:
     """Bars plus the technical columns."""
-    return staged(bars, CORE, TECHNICAL).select(*bars.columns, *COLUMNS)
+    return over_panel(bars, CORE, TECHNICAL).select(*bars.columns, *COLUMNS)
 
 
 def indicator(bars: DataFrame, group: str) -> DataFrame:
     """Only the columns of one indicator group; the optimizer prunes the rest."""
-    return staged(bars, CORE, TECHNICAL).select("symbol", "ts", *GROUPS[group])
+    return over_panel(bars, CORE, TECHNICAL).select("symbol", "ts", *GROUPS[group])

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from barflow.functions.nulls import change
 from barflow.operators.layout import Rows, add, index_rows, keys
-from barflow.operators.staged import Group, staged
+from barflow.operators.segments import unbounded
+from barflow.operators.staged import Group, over_panel
 from barflow.operators.technical import CORE
 
 # prefix -> (fast span, slow span), in periods
@@ -200,9 +201,17 @@ def with_periods(bars: DataFrame) -> DataFrame:
     return d
 
 
+def joined_periods(bars: DataFrame) -> DataFrame:
+    """Bars with the period columns joined: a period can be longer than a segment."""
+    d = bars
+    for frame in FRAMES:
+        d = join_periods(d, bars, frame)
+    return d
+
+
 def add_timeframes(df: DataFrame) -> DataFrame:
     """Weekly, monthly and daily trend columns of every bar."""
-    return staged(with_periods(df), CORE, TIMEFRAMES)
+    return over_panel(joined_periods(df) if unbounded(df) else with_periods(df), CORE, TIMEFRAMES)
 
 
 # Output columns of each group.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barflow.functions.nulls import change, div, flag, sign_of
 from barflow.operators.layout import Rows
-from barflow.operators.staged import Group, staged
+from barflow.operators.staged import Group, over_panel
 from barflow.operators.technical import CORE
 
 MEAN_BARS = (5, 10, 20, 50)
@@ -74,9 +74,9 @@ COLUMNS = [name for group in GROUPS.values() for name in group]
 
 def volume(bars: DataFrame) -> DataFrame:
     """Bars plus the volume columns."""
-    return staged(bars, CORE, VOLUME).select(*bars.columns, *COLUMNS)
+    return over_panel(bars, CORE, VOLUME).select(*bars.columns, *COLUMNS)
 
 
 def volume_group(bars: DataFrame, group: str) -> DataFrame:
     """Only the columns of one volume group, keyed by symbol and ts."""
-    return staged(bars, CORE, VOLUME).select("symbol", "ts", *GROUPS[group])
+    return over_panel(bars, CORE, VOLUME).select("symbol", "ts", *GROUPS[group])

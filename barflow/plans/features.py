@@ -37,10 +37,7 @@ def add_features(bars: DataFrame, warmup: str = "reference", segmented: bool | N
     if segmented is None:
         segmented = segments.unbounded(bars)
     if segmented:
-        narrow = bars
-        for frame in timeframe.FRAMES:
-            narrow = timeframe.join_periods(narrow, bars, frame)
-        d = segments.split(narrow)
+        d = segments.split(timeframe.joined_periods(bars))
     else:
         d = timeframe.with_periods(bars)
     d = staged(

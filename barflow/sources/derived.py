@@ -56,6 +56,24 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with a time of day: the minutes of every event type."""
+    at = F.struct("ts", "event_id")
+    price = F.round(F.col("value") + 10, 4)
+    return (
+        table(spark, sf_dir, "events").filter(F.col("value").isNotNull())
+        .groupBy(F.col("event_type").alias("symbol"), F.date_trunc("minute", "ts").alias("minute"))
+        .agg(
+            F.min_by(price, at).alias("open"),
+            F.max(price).alias("high"),
+            F.min(price).alias("low"),
+            F.max_by(price, at).alias("close"),
+            F.sum((1 + F.col("user_id") % 50).cast("double")).alias("volume"),
+        )
+        .withColumnRenamed("minute", "ts")
+    )
+
+
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     return (

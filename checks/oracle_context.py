@@ -6,7 +6,7 @@ from barflow.functions import lexicon
 from barflow.operators import sector as sector_rules
 from barflow.operators.ensemble import BASE_WEIGHTS, MODELS
 from barflow.sources import derived as D
-from checks.oracle_features import CTE, ORDER, RUN, W, column, feature_oracles, frame, query, real, text, whole
+from checks.oracle_features import CTE, ORDER, RUN, W, column, feature_oracles, frame, minute_oracles, query, real, text, whole
 from barflow.plans.features import FEATURES
 
 KEYS = f"symbol, {text('ts')}"
@@ -934,7 +934,7 @@ def evaluation_oracles() -> dict[str, str]:
 
 def all_oracles() -> dict[str, str]:
     return {
-        **feature_oracles(), **source_oracles(), **plan_oracles(), **context_oracles(), **ensemble_oracles(),
+        **feature_oracles(), **minute_oracles(), **source_oracles(), **plan_oracles(), **context_oracles(), **ensemble_oracles(),
         **decision_oracles(), **reliability_oracles(), **signal_oracles(), **evaluation_oracles(),
     }
 

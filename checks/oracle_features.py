@@ -307,15 +307,32 @@ def needs(sql: str) -> list[str]:
     return [n for n in CTE if n in found]
 
 
-def query(body: str) -> str:
-    """Complete statement: the body with the expressions it needs."""
-    names = needs(body)
-    parts = [f"{n} AS {'MATERIALIZED ' if n in MATERIALIZED else ''}({CTE[n]})" for n in names]
+MINUTE_BARS = """
+SELECT event_type AS symbol, date_trunc('minute', ts) AS ts, arg_min(px, (ts, event_id)) AS open, max(px) AS high,
+       min(px) AS low, arg_max(px, (ts, event_id)) AS close, sum(CAST(1 + user_id % 50 AS DOUBLE)) AS volume
+FROM (SELECT *, round(value + 10, 4) AS px FROM events WHERE value IS NOT NULL)
+GROUP BY event_type, date_trunc('minute', ts)"""
+
+
+def query(body: str, bars: str | None = None) -> str:
+    """Complete statement: the body with the expressions it needs, over the given bars."""
+    names = [n for n in needs(body) if bars is None or n != "tr"]
+    own = {"bars": bars} if bars else {}
+    parts = [f"{n} AS {'MATERIALIZED ' if n in MATERIALIZED else ''}({own.get(n, CTE[n])})" for n in names]
     return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body
 
 
-def bar_query(columns: list[str], source: str) -> str:
-    return query(f"SELECT symbol, {text('ts')}, {', '.join(column(c) for c in columns)} FROM {source}")
+def bar_query(columns: list[str], source: str, bars: str | None = None) -> str:
+    return query(f"SELECT symbol, {text('ts')}, {', '.join(column(c) for c in columns)} FROM {source}", bars)
+
+
+def minute_oracles() -> dict[str, str]:
+    return {
+        f"minute_{module.__name__.rsplit('.', 1)[-1]}": bar_query(module.COLUMNS, source, MINUTE_BARS)
+        for source, module in (
+            ("t4", technical), ("p3", price_action), ("v2", volume), ("r3", regime), ("f3", timeframe)
+        )
+    }
 
 
 def feature_oracles() -> dict[str, str]:

@@ -65,6 +65,20 @@ def feature_queries() -> dict[str, Query]:
     return out
 
 
+def minute_queries() -> dict[str, Query]:
+    """All columns of each feature group on bars with a time of day."""
+    out: dict[str, Query] = {}
+    for module, fn in (
+        (technical, technical.technical), (price_action, price_action.price_action), (volume, volume.volume),
+        (regime, regime.regime), (timeframe, timeframe.timeframes),
+    ):
+        def run(spark, sf_dir, fn=fn, columns=tuple(module.COLUMNS)):
+            return tidy(fn(D.minute_bars(tune(spark), sf_dir)).select("symbol", "ts", *columns))
+
+        out[f"minute_{module.__name__.rsplit('.', 1)[-1]}"] = run
+    return out
+
+
 # --- sources ---------------------------------------------------------------
 
 
@@ -655,6 +669,6 @@ def evaluation_queries() -> dict[str, Query]:
 
 def all_queries() -> dict[str, Query]:
     return {
-        **feature_queries(), **source_queries(), **plan_queries(), **context_queries(), **ensemble_queries(),
+        **feature_queries(), **minute_queries(), **source_queries(), **plan_queries(), **context_queries(), **ensemble_queries(),
         **decision_queries(), **reliability_queries(), **signal_queries(), **evaluation_queries(),
     }
