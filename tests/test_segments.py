@@ -48,3 +48,33 @@ def test_no_task_gets_the_whole_hot_symbol(spark):
     sizes = split(bars).groupBy("symbol", "segment").count().toPandas()["count"]
     assert len(sizes) == 3
     assert sizes.max() <= SEGMENT_ROWS + HALO_ROWS
+
+
+def test_long_series_in_every_group_equals_the_plain_one(spark):
+    from barflow.operators import price_action, regime, technical, timeframe, volume
+
+    n = 200_000
+    pdf = minute_bars(n, "HOT", 4)
+    bars = spark.createDataFrame(pdf)
+
+    def got(fn, group):
+        return fn(bars, group).toPandas().sort_values("ts").reset_index(drop=True)
+
+    def same(a, b):
+        assert len(a) == n and np.allclose(a.astype(float), b.astype(float), rtol=1e-8, atol=1e-8, equal_nan=True)
+
+    close, sign = pdf["close"], np.sign(pdf["close"].diff()).fillna(0)
+    averages = got(technical.indicator, "ema")
+    for span in (20, 50, 200):
+        same(averages[f"ema{span}"], close.ewm(span=span, adjust=False).mean().where(np.arange(n) >= span - 1))
+    obv = (sign * pdf["volume"]).cumsum()
+    same(got(technical.indicator, "obv")["obv_slope"], obv.diff(10))
+    same(got(volume.volume_group, "obv_trend")["obv_sma20"], obv.rolling(20).mean())
+    bull = (pdf["close"] > pdf["open"]).astype(int)
+    same(got(price_action.pattern, "streaks")["bullish_streak"], bull.groupby((bull == 0).cumsum()).cumsum())
+    same(got(regime.regime_group, "regime_vol")["regime_volatility"], close.pct_change().rolling(20, 5).std())
+    week = pd.Series(close.to_numpy(), index=pdf["ts"]).resample("W-FRI").last()
+    fast = week.ewm(span=10, adjust=False).mean().shift(1)
+    label = pdf["ts"].dt.to_period("W-FRI").dt.end_time.dt.normalize()
+    known = np.where(pdf["ts"].dt.normalize() == label, label.map(fast), label.map(fast.shift(1)))
+    same(got(timeframe.timeframe_group, "asof_ffill")["weekly_ema_fast"], pd.Series(known))
