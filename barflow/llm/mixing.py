@@ -20,13 +20,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in a bucket of a source follow one another; the buckets' totals give each its place in the source.
 BUCKETS = 1024
 CHUNK = 4096
+#: Shards of a source whose running totals one task makes.
+SHARD_RANGE = 65_536
 #: Slots that one task makes.
 PART_SLOTS = 100_000
 
 
 @dataclass
 class Mix:
-    rows: DataFrame  # doc_id, source, size, row, begin: place of the document's words in its source
+    rows: DataFrame  # doc_id, skey, tie (text's hash), size, bucket, row, begin: place of the document's words in its source
     sources: DataFrame  # skey, source_size, target, blocks, slots, first_slot
     uses: DataFrame  # shard, slot, skey, block
 
@@ -54,13 +56,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, mo
     return rows.select("skey", "source", "source_size", target.alias("target"))
 
 
+def source_key():
+    """A null source is a source of its own and cannot meet a source of the same spelling."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+
+
 def plan_mix(
     docs: DataFrame, block: int = 128, shard_slots: int = 1024, seed: int = 17, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0
 ) -> Mix:
     """Sizes, targets and slots for the rows of (doc_id, text, source)."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    # a null source is a source of its own and cannot meet a source of the same spelling
-    skey = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+    skey = source_key()
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
     rows = written(docs.select("doc_id", "source", size.alias("size"), skey.alias("skey"), bucket.alias("bucket"), F.xxhash64("text").alias("tie")), "mix-sizes")
 
@@ -70,7 +76,7 @@ def plan_mix(
     places = totals.select("skey", "bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("offset"))
     within = Window.partitionBy("skey", "bucket").orderBy("doc_id", "size", "tie")
     begin = F.col("offset") + F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.join(places, ["skey", "bucket"]).select("doc_id", "skey", "size", "bucket", F.row_number().over(within).alias("row"), begin.alias("begin"))
+    placed = rows.join(places, ["skey", "bucket"]).select("doc_id", "skey", "tie", "size", "bucket", F.row_number().over(within).alias("row"), begin.alias("begin"))
 
     targets = source_targets(sizes, weights, budget, most)
     blocks = F.ceil(F.col("source_size") / block).cast("long")
@@ -87,8 +93,12 @@ def plan_mix(
     drawn = chunks.select("skey", "all_slots", "first_slot", F.explode(F.sequence("chunk", F.least(F.col("chunk") + CHUNK, "slots") - 1)).alias("j"))
     shard = F.floor(permuted(F.col("first_slot") + F.col("j"), F.col("all_slots"), seed) / shard_slots)
     counts = drawn.select("skey", shard.alias("shard")).groupBy("skey", "shard").agg(F.count("*").alias("n"))
-    through = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("skey", "shard", "n", F.coalesce(F.sum("n").over(through), F.lit(0)).alias("from"))
+    # running totals of ranges of shards first, so that no task orders all shards of a source
+    counts = counts.withColumn("range", F.floor(F.col("shard") / SHARD_RANGE))
+    earlier = lambda order, *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = counts.groupBy("skey", "range").agg(F.sum("n").alias("n")).select("skey", "range", earlier("range", "skey").alias("before"))
+    counts = counts.withColumn("inside", earlier("shard", "skey", "range")).join(ranges, ["skey", "range"])
+    counts = counts.select("skey", "shard", "n", (F.col("before") + F.col("inside")).alias("from"))
     counts = counts.join(sources.select("skey", "blocks"), "skey").repartition(parts, F.col("skey"), F.col("shard"))
     filled = counts.select("skey", "shard", "blocks", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("j"))
     turn = F.floor(F.col("j") / F.col("blocks"))
@@ -126,13 +136,14 @@ def mix_documents(docs: DataFrame, block: int = 128, **settings) -> DataFrame:
 def mixed_blocks(docs: DataFrame, block: int = 128, **settings) -> DataFrame:
     """The mix itself: (shard, slot, source key, block, words) with the words of each slot in order.
 
-    Words come from the documents by id; where ids repeat, rows of one id and size are told apart by their text's hash only
-    if the texts differ, and are the same words otherwise.
+    A row's words come from a document of its source with its id (null too) and its text's hash; such rows have equal texts.
     """
     mix = plan_mix(docs, block=block, **settings)
-    words = F.regexp_extract_all(text_or_empty(), F.lit(WORD), 0)
-    texts = docs.select("doc_id", words.alias("words")).dropDuplicates(["doc_id"])
-    parts = pieces(mix.rows, block).join(texts, "doc_id")
-    parts = parts.select("skey", "block", "start", F.slice("words", (F.col("start") - F.col("begin") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("w"))
+    texts = docs.select(source_key().alias("skey"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"), text_or_empty().alias("text"))
+    texts = texts.dropDuplicates(["skey", "id", "tie"]).withColumnsRenamed({"skey": "skey_", "tie": "tie_"})
+    same = (F.col("skey") == F.col("skey_")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("tie_"))
+    words = F.regexp_extract_all("text", F.lit(WORD), 0)
+    parts = pieces(mix.rows, block).join(texts, same)
+    parts = parts.select("skey", "block", "start", F.slice(words, (F.col("start") - F.col("begin") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("w"))
     filled = parts.groupBy("skey", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "w"))), lambda p: p["w"])).alias("words"))
     return mix.uses.join(filled, ["skey", "block"]).select("shard", "slot", "skey", "block", "words")

@@ -87,8 +87,16 @@ def signature(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) ->
     return (mixed(least) & np.uint64(0xFFFF)).astype(np.int32)
 
 
+def set_hashes(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Size and two 64-bit hashes of each set; sets that agree in all three count as equal."""
+    with np.errstate(over="ignore"):
+        h1 = [int(x.sum(dtype=np.uint64).astype(np.int64)) for x in sets]
+        h2 = [int(np.bitwise_xor.reduce(mixed(x), initial=np.uint64(0)).astype(np.int64)) for x in sets]
+    return [pa.array(column, pa.int64()) for column in ([len(x) for x in sets], h1, h2)]
+
+
 def signatures(docs: DataFrame, index: Index, width: int) -> DataFrame:
-    """doc_id, n (set size), h1 and h2 (hashes of the set), sig (array of int; empty for an empty set)."""
+    """doc_id, text_hash, n (set size), h1 and h2 (hashes of the set), sig (array of int; empty for an empty set)."""
     random = np.random.default_rng(7)
     factors = random.integers(0, 2**63, index.positions, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shifts = random.integers(0, 2**63, index.positions, dtype=np.uint64)
@@ -96,14 +104,17 @@ def signatures(docs: DataFrame, index: Index, width: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(*utf8(batch.column("text")), width)
-            with np.errstate(over="ignore"):
-                h1 = [int(x.sum(dtype=np.uint64).astype(np.int64)) for x in sets]
-                h2 = [int(np.bitwise_xor.reduce(mixed(x), initial=np.uint64(0)).astype(np.int64)) for x in sets]
             sig = [signature(x, factors, shifts).tolist() if len(x) else [] for x in sets]
-            columns = [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h1", "h2", "sig"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), *set_hashes(sets), pa.array(sig, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n", "h1", "h2", "sig"])
+
+    rows = docs.select("doc_id", text_hash().alias("text_hash"), text_or_empty().alias("text"))
+    return rows.mapInArrow(sign, f"doc_id {dict(docs.dtypes)['doc_id']}, text_hash long, n long, h1 long, h2 long, sig array<int>")
+
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(sign, f"doc_id {dict(docs.dtypes)['doc_id']}, n long, h1 long, h2 long, sig array<int>")
+def text_hash():
+    """64-bit hash that tells the texts of one id apart; a null text counts as empty."""
+    return F.xxhash64(text_or_empty())
 
 
 def chunk_keys(index: Index, sig: str = "sig"):
@@ -185,32 +196,35 @@ def linkable(tagged: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, index: Index = Index()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, text_hash, chosen) for each row of (doc_id, text).
 
-    Texts without words (null, empty, blank) have the size 0 and stand alone. Equal sets form one class that its smallest id
-    represents; rows of one repeated id share the id's component. `kept` is doc_id = component_id. Rows with a null id stand
-    alone with a null component and are kept. An empty table gives no rows.
+    Texts without words (null, empty, blank) have the size 0 and stand alone. Equal sets form one class. Classes are linked,
+    not ids: the texts of one repeated id may be in different components. `component_id` is the smallest id with a text in the
+    row's component, so components with the same smallest id show the same number. `kept` is doc_id = component_id; `chosen`
+    is true for the rows of one class of each component, among those kept. Rows with a null id link nothing, stand alone with
+    a null component and are kept and chosen. An empty table gives no rows. Ids may be of any ordered type.
     """
     signed = written(signatures(docs, index, width), "signatures")
     whole = signed.where("n > 0 and doc_id is not null")
-    classes = whole.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
-    members = written(classes.select("id", "n", "sig", "h1", "h2"), "classes")
+    classes = whole.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("lead"), F.first("sig").alias("sig"))
+    # the number of a class is fixed by writing it
+    members = written(classes.select(F.monotonically_increasing_id().alias("id"), "lead", "n", "sig", "h1", "h2"), "classes")
     keyed = members.select("id", F.posexplode(chunk_keys(index)).alias("k", "key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     keyed = written(keyed.join(crowded, "key"), "keys")
 
-    ids = keyed.select("id").distinct()
-    chosen = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text")).join(ids, "id", "left_semi")
+    wanted = members.join(keyed.select("id").distinct(), "id", "left_semi").select("id", "lead", "n", "h1", "h2")
+    chosen = docs.select("doc_id", text_or_empty().alias("text")).join(wanted.select(F.col("lead").alias("doc_id")), "doc_id", "left_semi")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(*utf8(batch.column("text")), width)
-            columns = [batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(parities(sets), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "set", "parity"])
+            columns = [*set_hashes(sets), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(parities(sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["n", "h1", "h2", "set", "parity"])
 
-    # an id repeated with other texts: the set of its class, by size and hash
-    sets = chosen.mapInArrow(full, "id long, set binary, parity array<long>").dropDuplicates(["id"])
-    sets = written(sets, "sets")
+    # a smallest id may have several texts: each class takes the set that has its size and hashes
+    sets = chosen.select("text").mapInArrow(full, "n long, h1 long, h2 long, set binary, parity array<long>").dropDuplicates(["n", "h1", "h2"])
+    sets = written(sets.join(wanted.drop("lead"), ["n", "h1", "h2"]).select("id", "set", "parity"), "sets")
 
     ordered = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     # every member of a key with its pivot: the member that meets most others, over all its keys
@@ -236,6 +250,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, index: I
     more = written(confirmed(pairs.select(*ordered("id", "id_")), sets, percent), "links")
     labels = components(more.union(labels.where("id != label").select(F.col("id").alias("u"), F.col("label").alias("v"))))
 
-    by_class = members.join(labels, "id", "left").select("n", "h1", "h2", F.coalesce("label", "id").alias("class"))
-    rows = signed.join(by_class, ["n", "h1", "h2"], "left").select("doc_id", "n", F.coalesce("class", "doc_id").alias("component_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    named = members.join(labels, "id", "left").select("n", "h1", "h2", "lead", F.coalesce("label", "id").alias("label"))
+    first = named.groupBy("label").agg(F.min(F.struct("lead", "n", "h1", "h2")).alias("first"))
+    same = (F.col("n") == F.col("first.n")) & (F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2"))
+    by_class = named.join(first, "label").select("n", "h1", "h2", F.col("first.lead").alias("class"), same.alias("leads"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
+    rows = signed.join(by_class, ["n", "h1", "h2"], "left").select("doc_id", "n", component.alias("component_id"), "leads", "text_hash")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    leads = F.coalesce(F.col("leads"), F.lit(True)) | F.col("doc_id").isNull()
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"), "text_hash", (kept & leads).alias("chosen"))

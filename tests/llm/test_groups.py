@@ -76,6 +76,31 @@ def test_groups_of_odd_rows(make, odd):
     assert near_duplicates(make(odd).limit(0)).count() == 0
 
 
+def test_texts_of_a_repeated_id_are_linked_each(make):
+    random.seed(8)
+    a, b = ([f"w{random.randrange(9000)}" for _ in range(200)] for _ in range(2))
+    near = lambda words: " ".join([*words[:100], "changed", *words[101:]])
+    a, near_a, b, near_b = " ".join(a), near(a), " ".join(b), near(b)
+    got = near_duplicates(make([(5, a), (5, b), (6, near_a), (7, near_b), (None, a)])).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (5, 5), (5, 5), (6, 5), (7, 5)]
+    got = near_duplicates(make([(3, near_a), (5, a), (5, b), (7, near_b), (5, b)])).collect()
+    assert sorted((r.doc_id, r.component_id, r.chosen) for r in got) == [(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (7, 5, False)]
+    one = near_duplicates(make([(5, a), (5, near_a), (6, a)])).collect()
+    assert [r.component_id for r in one] == [5, 5, 5] and sum(r.chosen for r in one) == 1
+    named = make([(5, a), (6, near_a)]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert {r.doc_id: r.component_id for r in near_duplicates(named).collect()} == {"d5": "d5", "d6": "d5"}
+
+
+def test_pipeline_stage_keeps_other_texts_of_an_id(spark, make):
+    from corpus_pipeline import COLUMNS, near_duplicates as stage
+
+    rows = [(3, "a b c d e f g"), (5, "a b c d e f g"), (5, "other words that stand alone"), (5, "other words that stand alone"), (None, "x"), (8, None)]
+    docs = make(rows).withColumns({"lang": F.lit("en"), "n_chars": F.lit(1).cast("long")})
+    got = stage(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "x"), (3, rows[0][1]), (5, rows[2][1]), (8, "")]
+    assert list(got[0].asDict()) == COLUMNS
+
+
 def test_index_guarantee():
     index = Index()
     assert index.positions == 40 and index.distance == 15
@@ -235,6 +260,30 @@ def test_mix_of_odd_rows(make, odd):
     assert mix_documents(make(odd).limit(0)).count() == 0 and mix_documents(make([(1, None, None)])).first().target == 0
 
 
+def test_blocks_of_odd_rows_lose_no_word(make, odd, monkeypatch):
+    rows = [*odd, (None, "a b c d", "b"), (1, "e f", "b"), (1, "g h i", "b"), (1, "j k", "c"), (1, "l m", "c")]
+    frame = make(rows)
+    taken, blocks = mix_documents(frame, block=2).collect(), mixed_blocks(frame, block=2).collect()
+    by_source, words = Counter(), Counter()
+    for r in taken:
+        by_source["null" if r.source is None else f"={r.source}"] += r.taken
+    for r in blocks:
+        words[r.skey] += len(r.words)
+    assert all(r.words for r in blocks) and words == +by_source
+    every = {w for _, t, _ in rows for w in WORD.findall(t or "")}
+    limit = Counter({w: 2 * n for w, n in Counter(w for _, t, _ in rows for w in WORD.findall(t or "")).items()})
+    used = Counter(w for r in blocks for w in r.words)
+    assert set(used) <= every and all(used[w] <= limit[w] for w in used)
+    assert mixed_blocks(frame.limit(0)).count() == 0
+
+    from barflow.llm import mixing
+
+    monkeypatch.setattr(mixing, "SHARD_RANGE", 3)  # running totals over several ranges give the same slots
+    again = mixed_blocks(frame, block=2, shard_slots=64).collect()
+    monkeypatch.setattr(mixing, "SHARD_RANGE", 10**6)
+    assert sorted(map(tuple, again)) == sorted(map(tuple, mixed_blocks(frame, block=2, shard_slots=64).collect()))
+
+
 def test_parities_bound_the_common_shingles(spark):
     from barflow.llm.near_duplicates import may_share_enough, parities
 
