@@ -15,6 +15,7 @@ from barflow.llm import shared  # noqa: E402
 from barflow.llm.decontamination import find_benchmark  # noqa: E402
 from barflow.llm.mixing import mix_documents  # noqa: E402
 from barflow.llm.near_duplicates import near_duplicates as find_near_duplicates  # noqa: E402
+from barflow.llm.near_duplicates import text_hash  # noqa: E402
 from barflow.llm.parse import drop_repeats  # noqa: E402
 from barflow.llm.queries import table  # noqa: E402
 from barflow.llm.toxicity import fit_toxicity, score_toxicity  # noqa: E402
@@ -29,9 +30,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group; rows of one id are one document, rows without an id all stay."""
-    kept = find_near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    rows = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The document of the smallest id of each group. Different texts of one id are documents of their own, copies of one id are
+    one document, rows without an id all stay.
+    """
+    chosen = find_near_duplicates(docs).where("chosen and doc_id is not null").select("doc_id", "text_hash")
+    rows = docs.where("doc_id is not null").select(*COLUMNS, text_hash().alias("text_hash"))
+    rows = rows.join(chosen, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     return rows.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
 
 
