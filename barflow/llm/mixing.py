@@ -139,11 +139,18 @@ def mixed_blocks(docs: DataFrame, block: int = 128, **settings) -> DataFrame:
     A row's words come from a document of its source with its id (null too) and its text's hash; such rows have equal texts.
     """
     mix = plan_mix(docs, block=block, **settings)
-    texts = docs.select(source_key().alias("skey"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie"), text_or_empty().alias("text"))
-    texts = texts.dropDuplicates(["skey", "id", "tie"]).withColumnsRenamed({"skey": "skey_", "tie": "tie_"})
+    texts = docs.select(source_key().alias("skey_"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie_"), text_or_empty().alias("text"))
+    texts = texts.dropDuplicates(["skey_", "id", "tie_"]).select("skey_", "id", "tie_", F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"))
     same = (F.col("skey") == F.col("skey_")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("tie_"))
-    words = F.regexp_extract_all("text", F.lit(WORD), 0)
-    parts = pieces(mix.rows, block).join(texts, same)
-    parts = parts.select("skey", "block", "start", F.slice(words, (F.col("start") - F.col("begin") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("w"))
+    # words are cut once a row, below the join, and a row's pieces leave it as slices: no piece carries the whole text
+    whole = mix.rows.where("size > 0").join(texts, same)
+    first, last = F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)
+
+    def piece(b):
+        start = F.greatest(F.col("begin"), b * block)
+        end = F.least(F.col("begin") + F.col("size"), (b + 1) * block)
+        return F.struct(b.alias("block"), start.alias("start"), F.slice("words", (start - F.col("begin") + 1).cast("int"), (end - start).cast("int")).alias("w"))
+
+    parts = whole.select("skey", F.inline(F.transform(F.sequence(first, last), piece)))
     filled = parts.groupBy("skey", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "w"))), lambda p: p["w"])).alias("words"))
     return mix.uses.join(filled, ["skey", "block"]).select("shard", "slot", "skey", "block", "words")
