@@ -38,3 +38,23 @@ def test_bars_are_the_limits_of_the_days_and_read_the_trades_once(spark, tables)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert got.count() == 90
     assert not any("lineitem" in f for f in D.predictions(got).inputFiles())
+
+
+def test_the_stream_computes_its_observations_once(spark, monkeypatch):
+    from checks import spark_side
+    from barflow.operators.signals import SCORES
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(p):
+        seen.add(1)
+        return p
+
+    counted = F.udf(count, "double").asNondeterministic()  # no filter goes below it
+    rows = [("A", dt.date(1995 + i // 2, 1 + i % 2, 3), 0.1 + 0.1 * i) for i in range(8)]
+    plain = spark.createDataFrame(rows, "symbol string, ts date, probability double").select(
+        "symbol", "ts", counted("probability").alias("probability"), F.lit(1.0).alias("agreement"), *[F.lit(0.0).alias(c) for c in SCORES]
+    )
+    monkeypatch.setattr(spark_side, "_observations", lambda *_: plain)
+    assert spark_side.q_stable_signal_stream(spark, "").count() == 8
+    assert seen.value == 8
