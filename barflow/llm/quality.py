@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import slices, text_or_empty, utf8, written
@@ -92,29 +92,63 @@ class QualityModel:
         return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, pairs: int = 40_000, label: str = "quality") -> QualityModel | None:
-    """Learn from at most `max_docs` labelled rows, chosen by a hash of the id, and `pairs` preference pairs of them.
+BINS = 4096
+
+
+def quantiles(values: DataFrame, shares: list[float]) -> list[float]:
+    """Exact quantiles of the column `s`, interpolated: counts of equal bins first, then the order within the bins asked for."""
+    low, high, n = values.agg(F.min("s"), F.max("s"), F.count("s")).first()
+    width = (high - low) / BINS
+    place = F.least(F.floor((F.col("s") - F.lit(low)) / F.lit(width)), F.lit(BINS - 1)) if width > 0 else F.lit(0)
+    binned = values.where("s is not null").select("s", place.cast("int").alias("bin"))
+    counts = sorted((r.bin, r.n) for r in binned.groupBy("bin").agg(F.count("*").alias("n")).collect())  # at most BINS rows
+
+    def at(rank: int) -> float:
+        for place, inside in counts:
+            if rank < inside:
+                break
+            rank -= inside
+        upto = F.sum("n").over(Window.orderBy("s"))
+        same = binned.where(F.col("bin") == place).groupBy("s").agg(F.count("*").alias("n"))
+        return same.select("s", upto.alias("upto")).where(F.col("upto") > rank).agg(F.min("s")).first()[0]
+
+    out = []
+    for share in shares:
+        place = share * (n - 1)
+        lower, upper = math.floor(place), math.ceil(place)
+        first = at(lower)
+        out.append(first if lower == upper else (upper - place) * first + (place - lower) * at(upper))
+    return out
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, pairs: int = 40_000, label: str = "quality") -> QualityModel | None:
+    """Learn from all labelled rows, each in one preference pair at least, with `pairs` pairs at least.
 
     Pair i joins row i of the good ones with row i of the bad ones, both counted around as often as needed with a shift, so
-    no pair comes of a join over all. Null ids and labels are set aside; None where either class is missing.
+    no pair comes of a join over all. The threshold is an exact quantile of all labelled rows' scores. Null ids and labels
+    are set aside; None where either class is missing.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     )
-    rows = docs.select("doc_id", text_or_empty().alias("_text")).join(F.broadcast(chosen), "doc_id")
-    sample = written(with_features(rows, ["doc_id", "y"]), "quality-sample")
-    sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows = docs.select("doc_id", text_or_empty().alias("_text")).join(chosen, "doc_id")
+    known = written(with_features(rows, ["doc_id", "y"]), "quality-known")
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
     spark = docs.sparkSession
-    # the bounded sample is numbered by its hash order within each class
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")) - 1
-    numbered = sample.select("y", "features", number.cast("long").alias("k"))
-    pick = spark.range(pairs).select(
+    # rows are numbered by the order of their hashes within each class: ranges of hashes first, then within the range
+    hashed = known.select("*", F.xxhash64("doc_id").alias("_hash"))
+    ranged = hashed.select("*", F.shiftright("_hash", 52).alias("_range"))
+    earlier = Window.partitionBy("y").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy("y", "_range").agg(F.count("*").alias("n"))  # at most 4096 a class
+    ranges = ranges.select("y", "_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("y", "_range").orderBy("_hash", "doc_id", "features")) - 1
+    numbered = ranged.select("y", "features", "_range", inside.alias("_inside")).join(F.broadcast(ranges), ["y", "_range"])
+    numbered = written(numbered.select("y", "features", (F.col("_before") + F.col("_inside")).alias("k")), "quality-numbered")
+    many = max(pairs, sizes[0], sizes[1])
+    pick = spark.range(many).select(
         (F.col("id") % sizes[1]).alias("good"), ((F.col("id") + F.floor(F.col("id") / F.lit(math.lcm(sizes[0], sizes[1])))) % sizes[0]).cast("long").alias("bad"), "id"
     )
     good = numbered.where("y = 1").select(F.col("k").alias("good"), F.col("features").alias("x"))
@@ -128,7 +162,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, pair
     weights = [float(w) for w in fit.coefficients]
     score = sum((F.col("features")[i] * F.lit(w) for i, w in enumerate(weights)), F.lit(0.0))
     share = sizes[0] / (sizes[0] + sizes[1])
-    low, cut = sample.select(score.alias("s")).agg(F.percentile("s", [share / 2, share]).alias("q")).first().q
+    low, cut = quantiles(known.select(score.alias("s")), [share / 2, share])
     return QualityModel(weights, float(cut), 1.0 if cut <= low else 1.0 / max(cut - low, 1e-9))
 
 

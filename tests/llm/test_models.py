@@ -80,6 +80,29 @@ def test_sentences_cover_all_words():
     assert found == re.findall(r"[^\W\d_]+", text.lower()) and max(len(w) for _, _, w in sentences(text)) <= 60
 
 
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    from barflow.llm import quality
+
+    n = 20_600
+    docs = spark.range(n).selectExpr("id doc_id", "if(id % 3 = 0, concat('!! ', id, ' !!'), concat('plain words ', id)) text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 <> 0) quality")
+    tables = {}
+
+    def kept(df, name):
+        return tables.setdefault(name, plain(df, name))
+
+    plain = quality.written
+    monkeypatch.setattr(quality, "written", kept)
+    model = fit_quality(docs, labels, pairs=1000)
+    rows = [r.features for r in tables["quality-known"].collect()]
+    assert len(rows) == n and tables["quality-pairs"].count() == sum(i % 3 != 0 for i in range(n))
+    scores = sorted(sum(x * w for x, w in zip(r, model.weights)) for r in rows)
+    at = -(-n // 3) / n * (n - 1)
+    want = scores[int(at)] + (at - int(at)) * (scores[int(at) + 1] - scores[int(at)])
+    assert abs(model.threshold - want) < 1e-9
+    assert [r.n for r in tables["quality-numbered"].groupBy("y").agg(F.count_distinct("k").alias("n")).orderBy("y").collect()] == [-(-n // 3), n - -(-n // 3)]
+
+
 def test_quality_ranks_held_out_documents(make, odd, labelled):
     docs, labels = labelled
     model = fit_quality(docs, labels.where("doc_id % 3 != 0"), pairs=4000)
