@@ -79,6 +79,11 @@ def with_features(rows: DataFrame, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "_text").mapInArrow(measure, f"{schema}, features array<double>")
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, features) of each row of (doc_id, text), written once; learning and scoring from it move no text."""
+    return written(with_features(docs.select("doc_id", text_or_empty().alias("_text")), ["doc_id"]), "quality-features")
+
+
 @dataclass
 class QualityModel:
     weights: list[float]
@@ -124,7 +129,8 @@ def quantiles(values: DataFrame, shares: list[float]) -> list[float]:
 def fit_quality(docs: DataFrame, labels: DataFrame, pairs: int = 40_000, label: str = "quality") -> QualityModel | None:
     """Learn from all labelled rows, each in one preference pair at least, with `pairs` pairs at least.
 
-    Pair i joins row i of the good ones with row i of the bad ones, both counted around as often as needed with a shift, so
+    `docs` are rows of (doc_id, text), or those that `measured` gives. The features are joined with the labels by an exchange
+    of both: labels grow with the documents, so neither side is broadcast, and the texts stay where they are read. Pair i joins row i of the good ones with row i of the bad ones, both counted around as often as needed with a shift, so
     no pair comes of a join over all. The threshold is an exact quantile of all labelled rows' scores. Null ids and labels
     are set aside; None where either class is missing.
     """
@@ -132,8 +138,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, pairs: int = 40_000, label:
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     )
-    rows = docs.select("doc_id", text_or_empty().alias("_text")).join(chosen, "doc_id")
-    known = written(with_features(rows, ["doc_id", "y"]), "quality-known")
+    rows = docs if "features" in docs.columns else measured(docs)
+    known = written(rows.select("doc_id", "features").join(chosen.hint("merge"), "doc_id").select("doc_id", "y", "features"), "quality-known")
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
@@ -167,14 +173,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, pairs: int = 40_000, label:
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None) -> DataFrame:
-    """(doc_id, score, predicted) for each row of (doc_id, text).
+    """(doc_id, score, predicted) for each row of (doc_id, text), or of those that `measured` gives.
 
     Null and empty texts are scored by zeros for all features. Without a model every row gets the score CUT. Repeated rows
     give repeated results; an empty table gives none.
     """
-    rows = docs.select("doc_id", text_or_empty().alias("_text"))
     if model is None:
-        scored = rows.select("doc_id", F.lit(CUT).alias("score"))
+        scored = docs.select("doc_id", F.lit(CUT).alias("score"))
+    elif "features" in docs.columns:
+        scored = docs.select("doc_id", model.column().alias("score"))
     else:
-        scored = with_features(rows, ["doc_id"]).select("doc_id", model.column().alias("score"))
+        rows = with_features(docs.select("doc_id", text_or_empty().alias("_text")), ["doc_id"])
+        scored = rows.select("doc_id", model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))

@@ -16,7 +16,7 @@ from .mixing import mix_documents
 from .near_duplicates import near_duplicates
 from .parse import drop_repeats
 from .periodic import periodic_runs
-from .quality import fit_quality, score_quality
+from .quality import fit_quality, measured, score_quality
 from .shared import remainder, shared_folder
 from .token_count import token_counts
 from .toxicity import fit_toxicity, score_toxicity
@@ -58,7 +58,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = measured(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
     scored = score_quality(docs, fit_quality(docs, labels.where(remainder() != 0)))
     return scored.select("doc_id", (remainder() == 0).alias("held_out"), "score", "predicted")
 

@@ -103,6 +103,28 @@ def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
     assert [r.n for r in tables["quality-numbered"].groupBy("y").agg(F.count_distinct("k").alias("n")).orderBy("y").collect()] == [-(-n // 3), n - -(-n // 3)]
 
 
+def test_quality_moves_no_text(spark, monkeypatch):
+    from barflow.llm import quality
+
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name)
+
+    plain = quality.written
+    monkeypatch.setattr(quality, "written", kept)
+    docs = spark.range(300).selectExpr("id doc_id", "if(id % 3 = 0, concat('!! ', id, ' !!'), concat('plain words ', id)) text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 <> 0) quality")
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: docs if name == "documents" else labels)
+    got = queries.op6_quality(spark, "")
+    assert not any("Exchange" in p and "_text" in p for p in plans.values())
+    assert "_text" not in got._jdf.queryExecution().executedPlan().toString()  # measured once, for learning and scoring
+    rows = labels.where(queries.remainder() != 0)
+    want = score_quality(docs, fit_quality(docs, rows)).collect()
+    assert {r.doc_id: r.predicted for r in got.collect()} == {r.doc_id: r.predicted for r in want}
+
+
 def test_quality_ranks_held_out_documents(make, odd, labelled):
     docs, labels = labelled
     model = fit_quality(docs, labels.where("doc_id % 3 != 0"), pairs=4000)
