@@ -58,3 +58,26 @@ def test_the_stream_computes_its_observations_once(spark, monkeypatch):
     monkeypatch.setattr(spark_side, "_observations", lambda *_: plain)
     assert spark_side.q_stable_signal_stream(spark, "").count() == 8
     assert seen.value == 8
+
+
+def test_fit_and_analysis_read_the_trades_once(spark, sf_dir, monkeypatch):
+    from checks import spark_side
+
+    made = []
+    plain = D.bars
+    monkeypatch.setattr(D, "bars", lambda *a: made.append(plain(*a)) or made[-1])
+    monkeypatch.setattr(spark_side, "_ENSEMBLES", {})
+    monkeypatch.setattr(spark_side.ensemble, "fit_final", lambda *_: None)
+    used = []
+
+    def analysis(bars, *_):
+        used.append(bars)
+        names = (
+            "symbol ts close regime p_up agreement validation_samples high_confidence_samples ece final_probability signal "
+            "confidence passed_checks eligible evidence_score evidence_status stop_loss target"
+        )
+        return spark.range(1).select(*[F.lit(0).alias(c) for c in names.split()])
+
+    monkeypatch.setattr(spark_side, "analyze_fitted", analysis)
+    assert spark_side.q_analyze_fitted(spark, sf_dir).count() == 1
+    assert len(made) == 1 and used[0].inputFiles() == made[0].inputFiles()
