@@ -81,3 +81,17 @@ def test_fit_and_analysis_read_the_trades_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(spark_side, "analyze_fitted", analysis)
     assert spark_side.q_analyze_fitted(spark, sf_dir).count() == 1
     assert len(made) == 1 and used[0].inputFiles() == made[0].inputFiles()
+
+
+def test_raw_bars_with_missing_keys_follow_their_sql(spark, tables):
+    import __spark_entry__ as entry
+    from checks.compare import connect, difference
+
+    line = pd.read_parquet(f"{tables}/lineitem.parquet")
+    g = np.random.default_rng(4)
+    line["l_extendedprice"] = line.l_extendedprice.abs() + 1  # the SQL's logarithm refuses others
+    for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"):
+        line[c] = line[c].astype("Float64" if c in ("l_quantity", "l_extendedprice") else "Int64").mask(g.random(len(line)) < 0.1)
+    line.to_parquet(f"{tables}/lineitem.parquet", coerce_timestamps="us")
+    got = entry.queries()["ohlcv_columns"](spark, tables)
+    assert difference(got, connect(tables), entry.oracle_sql()["ohlcv_columns"]) is None
