@@ -1,5 +1,7 @@
 """From the fitted ensemble to decisions and versioned walk-forward results."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -101,3 +103,29 @@ def test_versioned_walk_forward(spark, world):
     assert len(before) == len(both) and all(abs(before[r.symbol, r.ts] - r.p_up) < 1e-12 for r in both.itertuples())
     metrics = P.walk_forward(bars, p, s).collect()
     assert {r.symbol for r in metrics} == {"A", "B"} and all(r.final_capital >= 0 for r in metrics)
+
+
+def test_registered_fits_have_the_default_sizes(spark, sf_dir, monkeypatch):
+    from checks import spark_side
+
+    sizes = []
+    monkeypatch.setattr(spark_side, "_ENSEMBLES", {})
+    monkeypatch.setattr(spark_side.ensemble, "fit_final", lambda rows, names, s=ensemble.EnsembleSettings(): sizes.append(s))
+    spark_side._fitted(spark, sf_dir)
+    assert sizes == [ensemble.EnsembleSettings()] and sizes[0].boosting_rounds == 220 and sizes[0].forest_trees == 300
+
+
+def test_tasks_of_a_fit_follow_its_rows(spark, world, monkeypatch):
+    m = ensemble.training_matrix(labels.training_rows(world[1], INPUTS), INPUTS, SMALL.folds)
+    m = replace(m, table=m.table.repartition(6))
+    seen = []
+
+    class Fit:
+        def fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), rows.count()))
+
+    monkeypatch.setattr(ensemble, "base_models", lambda s: {"GradientBoosting": Fit()})
+    monkeypatch.setattr(ensemble, "TASK_ROWS", 300)
+    monkeypatch.setattr(ensemble, "fit_logistic", lambda *_: {})
+    ensemble.fit_sets(m, SMALL, [0, 1, 2])
+    assert len(seen) == 3 and all(parts == -(-rows // 300) for parts, rows in seen) and max(seen)[0] == 3
